@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import lines, minhash, quality
 
 QUERIES = {
+    "op4_line_dedup": lines.query,
+    "op5_quality_classifier": quality.query,
     "op10_minhash_near_dedup": minhash.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines.SQL,
+}

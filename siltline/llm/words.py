@@ -77,10 +77,14 @@ def spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(body: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, for each text the index of its first word). A word is a run of letters, digits and underscores."""
+def word_hashes(body: np.ndarray, offsets: np.ndarray, lower: bool = True, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash of each word, for each text the index of its first word), and a hash of each word's first n bytes for n in prefixes.
+
+    A word is a run of letters, digits and underscores."""
     starts, ends, first = spans(body, offsets)
     power, inverse = _powers(len(body))
     total = np.zeros(len(body) + 1, np.uint64)
     np.cumsum((lowered(body) if lower else body).astype(np.uint64) * power[: len(body)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts]), first
+    begun, back = total[starts], inverse[starts]
+    more = [mix((total[np.minimum(ends, starts + n)] - begun) * back + np.uint64(n)) for n in prefixes]
+    return mix((total[ends] - begun) * back), first, *more
