@@ -36,14 +36,14 @@ STATS = 14
 META = 1024
 WIDTH = BUCKETS + STATS * STEPS + 2 * META
 RANK = 4
-MAX_TRAIN = 8000
+MAX_TRAIN = 16000
 PREFIXES = (3, 5)  # word beginnings of so many bytes are features as well, for inflected and coined words
-MIN_DOCS = 3  # a feature in fewer training documents has no weight
-EPOCHS = 8
+MIN_DOCS = 12  # a feature in fewer training documents has no weight
+EPOCHS = 6
 BATCH = 128
-RATE = 0.15
-RATE_PAIRS = 0.01
-DECAY = 1e-4
+RATE = 0.2
+RATE_PAIRS = 0.05
+DECAY = 5e-3
 
 
 def _share(mask: np.ndarray, offsets: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -130,11 +130,11 @@ def fit(ids: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seed: int = 1
     heads = (targets.min(0) < 0.5) & (targets.max(0) > 0.5)  # a head with one class stays constant
     often = np.bincount(ids, minlength=WIDTH) >= MIN_DOCS
     used = np.flatnonzero(often)
-    local = np.full(WIDTH, -1)
+    local = np.full(WIDTH, -1, np.int32)
     local[used] = np.arange(len(used))
     keep = often[ids]
     starts = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    ids = local[ids[keep]]
+    ids = local[ids[keep]].astype(np.int32)
     weights = np.zeros((len(used), 2, 1 + RANK))
     weights[:, :, 1:] = rng.normal(0, 0.01, weights[:, :, 1:].shape)
     past = np.full(weights.shape, 1e-2)
@@ -187,9 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
         return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 2)))
     flat = got["ids"].combine_chunks()
     sizes = np.asarray(flat.value_lengths())
-    ids, starts = np.asarray(flat.flatten(), np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    ids, starts = np.asarray(flat.flatten()), np.concatenate([[0], np.cumsum(sizes)])
     targets = np.stack([np.asarray(got["good"]), np.asarray(got["toxic"])], 1)
-    order = np.lexsort((ids[starts[:-1]], sizes, np.add.reduceat(ids, starts[:-1])))  # the same order however the rows arrive
+    order = np.lexsort((ids[starts[:-1]], sizes, np.add.reduceat(ids, starts[:-1], dtype=np.int64)))  # the same order however the rows arrive
     moved = np.concatenate([[0], np.cumsum(sizes[order])])
     ids = ids[np.repeat(starts[order] - moved[:-1], sizes[order]) + np.arange(moved[-1])]
     return fit(ids, moved, targets[order])

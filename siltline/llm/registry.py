@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, quality
+from . import lines, minhash, packing, quality
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op4_line_dedup": lines.query,
     "op5_quality_classifier": quality.query,
     "op10_minhash_near_dedup": minhash.query,
