@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, packing, quality
+from . import bpe, chat, lines, minhash, packing, quality
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_bpe_encoding": bpe.query,
+    "op3_chat_formatting": chat.query,
     "op4_line_dedup": lines.query,
     "op5_quality_classifier": quality.query,
     "op10_minhash_near_dedup": minhash.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_formatting": chat.SQL,
     "op4_line_dedup": lines.SQL,
 }
