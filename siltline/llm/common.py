@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -63,3 +63,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         mark = tuple(seen)
     raise RuntimeError("components: no end after %d rounds" % max_rounds)
+
+
+def placed(ids: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """Of ``ids(rid, <name>)`` the rows in a group of two or more by ``roots(rid, root)``: with o, their place in the order, and best, that of the one that stays."""
+    of = roots.distinct().join(ids, "rid").select("rid", name, "root", F.struct(F.col(name).isNull().alias("n"), F.col(name).alias("id"), "rid").alias("o"))
+    best = of.groupBy("root").agg(F.min("o").alias("best"), F.count("*").alias("size")).where("size > 1")
+    return of.join(best, "root")
+
+
+def pairs_of(groups: DataFrame, name: str) -> DataFrame:
+    """(<name>, kept_<name>, group_size) of the rows that go."""
+    place = F.row_number().over(Window.partitionBy("root").orderBy("o"))
+    return groups.withColumn("place", place).where("place > 1").select(name, F.col("best.id").alias(f"kept_{name}"), F.col("size").alias("group_size"))
+
+
+def kept_rows(rows: DataFrame, groups: DataFrame, *key: str) -> DataFrame:
+    """``rows`` without those that go; of a row that is there again, one stays."""
+    gone = groups.where(F.col("rid") != F.col("best.rid")).select(F.col("rid").alias("__gone")).distinct()
+    kept = rows.withColumn("__rid", row_key(*key)).join(gone, F.col("__rid") == F.col("__gone"), "left_anti")
+    again = groups.where(F.col("rid") == F.col("best.rid")).groupBy("rid").count().where("count > 1").select(F.col("rid").alias("__again"))
+    if again.head(1):
+        same = F.col("__rid") == F.col("__again")
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["__rid"]))
+    return kept.drop("__rid")

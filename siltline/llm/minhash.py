@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, row_key, stored, table
+from .common import components, kept_rows, pairs_of, placed, row_key, stored, table
 from .words import buffers, mix, pieces, word_hashes
 
 PERMUTATIONS = 64
@@ -119,29 +119,17 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, root, best) of rows in a group of two or more rows; best: the order and doc_id of the one that stays."""
-    ids = docs.select(row_key("doc_id", "text").alias("rid"), "doc_id")
-    of = groups(docs).distinct().join(ids, "rid").select("rid", "doc_id", "root", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid").alias("o"))
-    best = of.groupBy("root").agg(F.min("o").alias("best"), F.count("*").alias("size")).where("size > 1")
-    return of.join(best, "root")
+    return placed(docs.select(row_key("doc_id", "text").alias("rid"), "doc_id"), groups(docs), "doc_id")
 
 
 def pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id, group_size): a row for each document that goes, with the one of its group that stays."""
-    placed = stored(_placed(docs), "minmax-groups")
-    place = F.row_number().over(Window.partitionBy("root").orderBy("o"))
-    return placed.withColumn("place", place).where("place > 1").select("doc_id", F.col("best.doc_id").alias("kept_doc_id"), F.col("size").alias("group_size"))
+    return pairs_of(stored(_placed(docs), "minmax-groups"), "doc_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, all columns kept."""
-    placed = stored(_placed(docs), "minmax-groups")
-    gone = placed.where(F.col("rid") != F.col("best.rid")).select(F.col("rid").alias("__gone")).distinct()
-    kept = docs.withColumn("__rid", row_key("doc_id", "text")).join(gone, F.col("__rid") == F.col("__gone"), "left_anti")
-    again = placed.where(F.col("rid") == F.col("best.rid")).groupBy("rid").count().where("count > 1").select("rid")
-    if again.head(1):  # the same row twice: one of them stays
-        kept = kept.join(again, F.col("__rid") == F.col("rid"), "left_anti").unionByName(kept.join(again, F.col("__rid") == F.col("rid"), "left_semi").dropDuplicates(["__rid"]))
-    return kept.drop("__rid")
+    return kept_rows(docs, stored(_placed(docs), "minmax-groups"), "doc_id", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lines, minhash, packing, quality
+from . import bpe, chat, lines, minhash, packing, quality, topk, vectors
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_chat_formatting": chat.query,
     "op4_line_dedup": lines.query,
     "op5_quality_classifier": quality.query,
+    "op6_exact_top_k": topk.query,
+    "op8_embedding_near_dedup": vectors.query,
     "op10_minhash_near_dedup": minhash.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": chat.SQL,
     "op4_line_dedup": lines.SQL,
+    "op6_exact_top_k": topk.SQL,
 }
