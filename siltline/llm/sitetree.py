@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import stored, table
 
 DAMPING = 0.9
-THRESHOLD = 0.4
+THRESHOLD = 0.5
 MIN_PAGES = 5  # what fewer pages have isn't judged, and important
 MAX_SET = 4_000_000
 
