@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from siltline.plans import history_queries
+
+PLANS = {**history_queries.PLANS}
+QUERIES = {name: query for name, (query, _) in PLANS.items()}
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in PLANS.items() if sql is not None}
