@@ -72,7 +72,7 @@ def brace_metrics(lines: DataFrame, *key: str) -> DataFrame:
     some = rows.withColumn("any_plain", F.max((F.col("plain") & (F.col("opened") > 0)).cast("int")).over(Order(*key).all)).where("any_plain = 1 AND (opened > 0 OR (struct > 0 AND depth > 0))")
     pushed = F.when(F.col("opened") > 0, F.transform(F.sequence(F.col("depth"), F.col("after") - 1), lambda j: F.struct(j.alias("level"), F.lit(1).alias("push"), (F.col("plain") & (j == F.col("depth"))).cast("int").alias("flag"), F.lit(0).alias("weight"))))
     asked = F.when((F.col("struct") > 0) & (F.col("depth") > 0), F.transform(F.sequence(F.lit(0), F.col("depth") - 1), lambda j: F.struct(j.alias("level"), F.lit(0).alias("push"), F.lit(None).cast("int").alias("flag"), F.col("struct").alias("weight"))))
-    levels = some.select(*key, "line_no", F.explode(F.concat(F.coalesce(asked, F.array()), F.coalesce(pushed, F.array()))).alias("x")).select(*key, "line_no", "x.*")
+    levels = some.select(*key, "line_no", F.explode(F.concat(F.coalesce(asked, F.array()), F.coalesce(pushed, F.array()))).alias("at_level")).select(*key, "line_no", "at_level.*")
     order = Window.partitionBy(*key, "level").orderBy("line_no", "push").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     less = levels.withColumn("flag", F.last("flag", ignorenulls=True).over(order)).where("push = 0").groupBy(*key).agg(F.sum(F.col("weight") * F.col("flag")).alias("less"))
     out = base.join(less, list(key), "left").withColumn("cognitive", F.col("cog") - F.coalesce("less", F.lit(0)))

@@ -106,3 +106,4 @@ def _quoted(text: str) -> str:
 
 _SNIPPET_ROWS = ", ".join(f"({i}, {_quoted(ext)}, {_quoted(text)})" for i, (ext, text) in enumerate(SNIPPETS))
 SOURCE_WITH = f"snippets(i, ext, content) AS (VALUES {_SNIPPET_ROWS}), source_files AS ({SOURCE_FILES.format(supplier='supplier', snippets='snippets')})"
+
