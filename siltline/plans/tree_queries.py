@@ -119,7 +119,7 @@ h_3 AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(s, '(?i)</script>
 h_4 AS (SELECT *, total - least(0, min(total) {_UNTIL}) AS depth FROM h_3),
 h_js AS (SELECT path, 'js' AS lang, line_no, s FROM h_4 WHERE script),
 {brace_ctes("h_js", "h_b")},
-{out} AS (SELECT t.path, t.lang, t.total_lines, coalesce(code_lines, 0) AS code_lines, t.comment_lines, t.blank_lines, coalesce(b.cyclomatic, 0) AS cyclomatic, coalesce(b.cognitive, 0) AS cognitive, CAST(coalesce(d.max_nesting, 0) AS BIGINT) AS max_nesting, CAST(0 AS BIGINT) AS functions
+{out} AS (SELECT t.path, t.lang, t.total_lines, coalesce(d.code_lines, 0) AS code_lines, t.comment_lines, t.blank_lines, coalesce(b.cyclomatic, 0) AS cyclomatic, coalesce(b.cognitive, 0) AS cognitive, CAST(coalesce(d.max_nesting, 0) AS BIGINT) AS max_nesting, CAST(0 AS BIGINT) AS functions
   FROM (SELECT path, lang, count(*) AS total_lines, count(*) FILTER (WHERE comment) AS comment_lines, count(*) FILTER (WHERE blank) AS blank_lines FROM h_2 GROUP BY path, lang) t
   LEFT JOIN (SELECT path, count(*) AS code_lines, max(depth) AS max_nesting FROM h_4 GROUP BY path) d USING (path) LEFT JOIN h_b b USING (path))"""
 
