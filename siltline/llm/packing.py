@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 CAPACITY = 8192
-SHARD = 24 << 20
+SHARD = 12 << 20
 RESULT = "bin_id bigint, doc_ids array<bigint>, starts array<int>, lengths array<int>, used int, text string"
 
 

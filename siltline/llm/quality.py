@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 from .words import PIECE, buffers, pieces, word_hashes
 
 BUCKETS = 1 << 20
@@ -104,10 +104,12 @@ def features(texts: pa.Array, langs: list, sources: list, size: int = PIECE) ->
 
 
 class Machine:
-    """Weights of both heads: a row of (w, v_1..v_RANK) * 2 for each feature, and w0 of each head."""
+    """Weights of both heads: a row of (w, v_1..v_RANK) * 2 for each feature that has any (rows[0]: none), and w0 of each head."""
 
-    def __init__(self, bias: np.ndarray, rows: np.ndarray) -> None:
-        self.bias, self.rows = bias, rows
+    def __init__(self, bias: np.ndarray, used: np.ndarray, rows: np.ndarray) -> None:
+        self.bias, self.rows = bias, np.concatenate([np.zeros((1, 2 * (1 + RANK)), np.float32), rows.astype(np.float32)])
+        self.place = np.zeros(WIDTH, np.int32)
+        self.place[used] = np.arange(1, len(used) + 1)
 
     def logits(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
@@ -122,13 +124,15 @@ def fit(ids: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seed: int = 1
     """Adagrad on the logistic loss of both heads. targets: (n, 2) of good and toxic, in 0..1."""
     rng = np.random.default_rng(seed)
     n = len(targets)
-    rows = np.zeros((WIDTH, 2 * (1 + RANK)), np.float32)
     if not n:
-        return Machine(np.array([20.0, -20.0]), rows)
+        return Machine(np.array([20.0, -20.0]), np.zeros(0, np.int64), np.zeros((0, 2 * (1 + RANK))))
     mean = targets.mean(0).clip(1e-6, 1 - 1e-6)
     bias = np.log(mean / (1 - mean))
     heads = (targets.min(0) < 0.5) & (targets.max(0) > 0.5)  # a head with one class stays constant
-    often = np.bincount(ids, minlength=WIDTH) >= MIN_DOCS
+    often = np.zeros(WIDTH, np.int64)
+    for a in range(0, len(ids), 1 << 20):  # in parts, as the counting copies them
+        often += np.bincount(ids[a : a + (1 << 20)], minlength=WIDTH)
+    often = often >= MIN_DOCS
     used = np.flatnonzero(often)
     local = np.full(WIDTH, -1, np.int32)
     local[used] = np.arange(len(used))
@@ -159,8 +163,7 @@ def fit(ids: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seed: int = 1
             past[distinct] += step * step
             weights[distinct] -= rate * step / np.sqrt(past[distinct])
             bias = bias - 0.05 * error.sum(0)
-    rows[used] = weights.reshape(len(used), -1) * np.repeat(heads, 1 + RANK)
-    return Machine(bias, rows)
+    return Machine(bias, used, weights.reshape(len(used), -1) * np.repeat(heads, 1 + RANK))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,16 +191,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     flat = got["ids"].combine_chunks()
     sizes = np.asarray(flat.value_lengths())
     ids, starts = np.asarray(flat.flatten()), np.concatenate([[0], np.cumsum(sizes)])
+    small_batches(docs.sparkSession)
     targets = np.stack([np.asarray(got["good"]), np.asarray(got["toxic"])], 1)
     order = np.lexsort((ids[starts[:-1]], sizes, np.add.reduceat(ids, starts[:-1], dtype=np.int64)))  # the same order however the rows arrive
     moved = np.concatenate([[0], np.cumsum(sizes[order])])
-    ids = ids[np.repeat(starts[order] - moved[:-1], sizes[order]) + np.arange(moved[-1])]
+    ids = np.concatenate([ids[starts[i] : starts[i + 1]] for i in order])
+    del got, flat
     return fit(ids, moved, targets[order])
 
 
 def scored(docs: DataFrame, model: Machine, name: str = "__quality") -> DataFrame:
     """``docs`` with a struct column ``name`` of (good, toxic), both probabilities."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 44 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WIDTH: 4 MB, and 40 bytes for each feature of the training rows
 
     @F.arrow_udf(T.StructType([T.StructField("good", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
     def score(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes hashed at once, so that the arrays stay in cache; a longer text is a piece of its own
+PIECE = 1 << 19  # bytes hashed at once, so that the arrays stay in cache; a longer text is a piece of its own
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POW: dict[str, np.ndarray] = {}
@@ -20,7 +20,7 @@ _LOWER[65:91] += 32
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POW or len(_POW["p"]) < n + 1:
-        size = max(n + 1, PIECE * 2)
+        size = max(n + 1, PIECE + (PIECE >> 2))
         for name, base in (("p", _BASE), ("i", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
