@@ -46,6 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for i in range(len(taken) + 1) if (x := f"{n}_{i}" if i else n).lower() not in taken) for n in names]
+
+
 def row_key(*columns) -> F.Column:
     """A 64-bit key of a row; rows that agree in all these columns (null equals null) share it."""
     parts = [x for c in columns for x in (F.col(c) if isinstance(c, str) else c,)]
@@ -91,10 +97,11 @@ def pairs_of(groups: DataFrame, name: str) -> DataFrame:
 
 def kept_rows(rows: DataFrame, groups: DataFrame, *key: str) -> DataFrame:
     """``rows`` without those that go; of a row that is there again, one stays."""
-    gone = groups.where(F.col("rid") != F.col("best.rid")).select(F.col("rid").alias("__gone")).distinct()
-    kept = rows.withColumn("__rid", row_key(*key)).join(gone, F.col("__rid") == F.col("__gone"), "left_anti")
-    again = groups.where(F.col("rid") == F.col("best.rid")).groupBy("rid").count().where("count > 1").select(F.col("rid").alias("__again"))
+    rid, out, more = fresh(rows, "__rid", "__gone", "__again")
+    gone = groups.where(F.col("rid") != F.col("best.rid")).select(F.col("rid").alias(out)).distinct()
+    kept = rows.withColumn(rid, row_key(*key)).join(gone, F.col(rid) == F.col(out), "left_anti")
+    again = groups.where(F.col("rid") == F.col("best.rid")).groupBy("rid").count().where("count > 1").select(F.col("rid").alias(more))
     if again.head(1):
-        same = F.col("__rid") == F.col("__again")
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["__rid"]))
-    return kept.drop("__rid")
+        same = F.col(rid) == F.col(more)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([rid]))
+    return kept.drop(rid)

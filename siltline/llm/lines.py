@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, stored, table
+from .common import fresh, row_key, stored, table
 from .words import mix
 
 BITS_PER_LINE = 16
@@ -130,15 +130,16 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, drop_emptied: bool = False, removed: str | None = None) -> DataFrame:
     """``docs`` without repeated lines. removed: name of a column for the number of lines that went."""
+    rid, out = fresh(docs, "__rid", "__gone")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: parts[i])
-    joined = docs.withColumn("__rid", row_key("doc_id", "text")).join(removals(docs).select(F.col("rid").alias("__rid"), F.col("gone").alias("__gone")).hint("shuffle_hash"), "__rid", "left")
-    out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(out)), lambda i: parts[i])
+    joined = docs.withColumn(rid, row_key("doc_id", "text")).join(removals(docs).select(F.col("rid").alias(rid), F.col("gone").alias(out)).hint("shuffle_hash"), rid, "left")
+    made = joined.withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if removed:
-        out = out.withColumn(removed, F.coalesce(F.size("__gone"), F.lit(0)))
+        made = made.withColumn(removed, F.coalesce(F.size(out), F.lit(0)))
     if drop_emptied:
-        out = out.where("__gone IS NULL OR text RLIKE '[^ \\n]'")
-    return out.drop("__rid", "__gone")
+        made = made.where(F.col(out).isNull() | F.col("text").rlike("[^ \n]"))
+    return made.drop(rid, out).select(*docs.columns, *([removed] if removed else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 from .words import PIECE, buffers, pieces, word_hashes
 
 BUCKETS = 1 << 20
@@ -103,6 +103,15 @@ def features(texts: pa.Array, langs: list, sources: list, size: int = PIECE) ->
         yield out, np.append(begin, ends[-1])
 
 
+def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of x over runs that begin there and end with the next; an empty run gives 0."""
+    out = np.zeros((len(begin) - 1, *x.shape[1:]), x.dtype)
+    full = np.flatnonzero(np.diff(begin))
+    if len(full):
+        out[full] = np.add.reduceat(x, begin[:-1][full], 0)
+    return out
+
+
 class Machine:
     """Weights of both heads: a row of (w, v_1..v_RANK) * 2 for each feature that has any (rows[0]: none), and w0 of each head."""
 
@@ -114,9 +123,9 @@ class Machine:
     def logits(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
             return np.zeros((0, 2))
-        x = self.rows[ids].reshape(len(ids), 2, 1 + RANK)
-        total = np.add.reduceat(x, offsets[:-1], 0)
-        square = np.add.reduceat(np.square(x[:, :, 1:]).sum(2), offsets[:-1], 0)
+        x = self.rows[self.place[ids]].reshape(len(ids), 2, 1 + RANK)
+        total = _sums(x, offsets)
+        square = _sums(np.square(x[:, :, 1:]).sum(2), offsets)
         return self.bias + total[:, :, 0] + (np.square(total[:, :, 1:]).sum(2) - square) / 2
 
 
@@ -151,12 +160,12 @@ def fit(ids: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seed: int = 1
             begin = np.concatenate([[0], np.cumsum(sizes)])
             part = ids[np.repeat(starts[docs] - begin[:-1], sizes) + np.arange(begin[-1])]
             x = weights[part]
-            total = np.add.reduceat(x, begin[:-1], 0)
-            square = np.add.reduceat(np.square(x[:, :, 1:]).sum(2), begin[:-1], 0)
+            total = _sums(x, begin)
+            square = _sums(np.square(x[:, :, 1:]).sum(2), begin)
             logit = bias + total[:, :, 0] + (np.square(total[:, :, 1:]).sum(2) - square) / 2
             error = (1 / (1 + np.exp(-logit.clip(-30, 30))) - targets[docs]) * heads / len(docs)
             grown = np.repeat(error, sizes, 0)[:, :, None]
-            grad = np.concatenate([grown, grown * (np.repeat(total[:, :, 1:], sizes, 0) - x[:, :, 1:])], 2).reshape(len(part), -1)
+            grad = np.concatenate([grown, grown * (np.repeat(total[:, :, 1:], sizes, 0) - x[:, :, 1:])], 2).reshape(len(part), 2 * (1 + RANK))
             distinct, where = np.unique(part, return_inverse=True)
             step = np.stack([np.bincount(where, grad[:, c], len(distinct)) for c in range(grad.shape[1])], 1).reshape(-1, 2, 1 + RANK)
             step += DECAY * weights[distinct] * heads[:, None]
@@ -182,6 +191,7 @@ def _meta(docs: DataFrame, name: str):
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Machine:
     """Fit on at most ``max_train`` labelled documents, chosen by the hash of doc_id."""
+    small_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("good"), F.col("toxic").cast("double").alias("toxic")).where("doc_id IS NOT NULL AND good IS NOT NULL AND toxic IS NOT NULL")
     some = usable.groupBy("doc_id").agg(F.avg("good").alias("good"), F.avg("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"), _meta(docs, "lang").alias("l"), _meta(docs, "source").alias("s")).join(F.broadcast(some), "doc_id")  # max_train rows at most
@@ -191,7 +201,6 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     flat = got["ids"].combine_chunks()
     sizes = np.asarray(flat.value_lengths())
     ids, starts = np.asarray(flat.flatten()), np.concatenate([[0], np.cumsum(sizes)])
-    small_batches(docs.sparkSession)
     targets = np.stack([np.asarray(got["good"]), np.asarray(got["toxic"])], 1)
     order = np.lexsort((ids[starts[:-1]], sizes, np.add.reduceat(ids, starts[:-1], dtype=np.int64)))  # the same order however the rows arrive
     moved = np.concatenate([[0], np.cumsum(sizes[order])])
@@ -216,7 +225,8 @@ def scored(docs: DataFrame, model: Machine, name: str = "__quality") -> DataFram
 
 def keep(docs: DataFrame, model: Machine) -> DataFrame:
     """The documents that the classifier accepts, with their columns."""
-    return scored(docs, model).where("__quality.good >= 0.5 AND __quality.toxic < 0.5").drop("__quality")
+    (name,) = fresh(docs, "__quality")
+    return scored(docs, model, name).where((F.col(name)["good"] >= 0.5) & (F.col(name)["toxic"] < 0.5)).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
