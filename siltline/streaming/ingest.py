@@ -10,7 +10,7 @@ from siltline.sources import gitlog
 
 def chunks(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """(chunk_id, text) of each file that comes into the folder."""
-    stream = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder, wholetext=True)
     return stream.select(F.col("_metadata.file_path").alias("chunk_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
