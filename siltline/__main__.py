@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import pathlib
 import sys
 
 from pyspark.sql import SparkSession
@@ -24,9 +25,9 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("-H", "--history-file", help="a log made before, instead of the repository's")
     p.add_argument("-E", "--export", help="write the log to a file (not with -H)")
     p.add_argument("--exclude", action="append", default=[])
-    p.add_argument("--no-code-age", action="store_true")
-    p.add_argument("--code-age-top-modules", type=int, default=5)
-    p.add_argument("-j", "--json", action="store_true")
+    p.add_argument("--code-age-top-modules", default=5, type=int, help="0: none")
+    for flags in (["--no-code-age"], ["-j", "--json"]):
+        p.add_argument(*flags, action="store_true")
     given = parser.parse_args(args)
     if given.kind != "history" and not os.path.isdir(given.directory):
         print(f"{given.directory} is not a directory", file=sys.stderr)
@@ -39,8 +40,8 @@ def main(args: list[str] | None = None) -> int:
             from siltline.sources import gitlog, tree
 
             tree.register(spark)
-            with open(given.export, "w", encoding="utf-8", newline="\n") as f:
-                f.write(spark.read.format(gitlog.GitLog.name()).load(given.repository).first().text)
+            text = spark.read.format(gitlog.GitLog.name()).load(given.repository).first().text
+            pathlib.Path(given.export).write_text(text, "utf-8", newline="\n")
         made = report.history_report(spark, given.repository, given.history_file, given.exclude, not given.no_code_age, given.code_age_top_modules)
     else:
         made = {"complexity": report.complexity_report, "logging": report.logging_report}[given.kind](spark, given.directory, given.exclude)

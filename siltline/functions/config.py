@@ -8,11 +8,11 @@ EXTENSIONS = {
 }
 LANG_OF_EXT = {ext: lang for lang, exts in EXTENSIONS.items() for ext in exts.split()}
 LOGGING_EXTS = sorted(e for e, lang in LANG_OF_EXT.items() if lang != "html")
-LABELS = {"js": "JS/TS", "cs": "C#", "java": "Java", "c": "C", "cpp": "C++", "go": "Go", "rust": "Rust", "kotlin": "Kotlin", "php": "PHP", "swift": "Swift", "ruby": "Ruby", "r": "R", "dart": "Dart", "scala": "Scala", "py": "Python", "html": "HTML/Razor"}
+LABELS = dict(x.split("=") for x in "c=C cpp=C++ cs=C# dart=Dart go=Go html=HTML/Razor java=Java js=JS/TS kotlin=Kotlin php=PHP py=Python r=R ruby=Ruby rust=Rust scala=Scala swift=Swift".split())
 
 SKIP_DIRS = sorted(".git .gemini .gradle .idea .lovable .mvn .next .nuxt .pub-cache .vscode Pods __pycache__ bin build coverage dist node_modules obj out packages target vendor".split())
 LOGGING_SKIP_DIRS = sorted([*SKIP_DIRS, "lib"])
-GENERATED = [".bundle.js", ".d.ts", ".Designer.cs", ".g.cs", ".g.i.cs", ".min.js"]
+GENERATED = [f".{x}" for x in "bundle.js d.ts Designer.cs g.cs g.i.cs min.js".split()]
 
 BRACE_LANGS = "c cpp cs dart go java js kotlin php rust scala swift unknown".split()
 INDENT_LANGS = "py r ruby".split()
@@ -20,7 +20,7 @@ LOG_C_STYLE = "c cpp cs dart go java js kotlin php rust scala swift".split()
 
 BANDS = {"cc": (10, 20, 50, 100), "cog": (15, 25, 50, 100), "nest": (2, 4, 6, 9), "fn": (10, 25, 50, 100)}
 BAND_NAMES = ["low", "moderate", "high", "very_high", "extreme"]
-LEVELS = ["error", "warn", "info", "debug", "trace"]
+LEVELS = "error warn info debug trace".split()
 CATEGORIES = ["ui", "business", "config", "test", "types", "markup"]
 COMMIT_CATEGORIES = ["bug_fix", "feature", "refactoring", "other"]
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()

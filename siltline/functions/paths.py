@@ -53,7 +53,7 @@ def excluded(patterns: list[str]) -> Column:
         if p.endswith("/"):
             out = out | F.contains(F.concat(F.lit("/"), path, F.lit("/")), F.lit("/" + p)) | path.startswith(p)
         out = out | (name == p)
-        if "/" not in p and not p.startswith("."):
+        if not ("/" in p or p.startswith(".")):
             out = out | F.contains(F.concat(F.lit("/"), path), F.lit(f"/{p}/"))
         out = out | path.rlike(_glob(p))
         if "/" in p:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _BREAK = "\ncommit "
+_GAP = r"\s+"
 _STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -44,7 +45,7 @@ def parse_commits(chunks: DataFrame) -> DataFrame:
         return F.when((F.size(lines) > 0) & (found != ""), found)
 
     return rows.select(
-        F.struct("chunk_id", "record").alias("seq"), _id().alias("commit_id"), head("Author", r"^Author:\s+(.+?)(?:\s+<.*>)?$").alias("author"), head("Date", r"^Date:\s+(.+?)\s*$").alias("date_raw"),
+        F.struct("chunk_id", "record").alias("seq"), _id().alias("commit_id"), head("Author", f"^Author:{_GAP}(.+?)(?:{_GAP}<.*>)?$").alias("author"), head("Date", r"^Date:\s+(.+?)\s*$").alias("date_raw"),
         F.array_join(F.transform(body, lambda x: F.regexp_replace(x, _STRIP, "")), " ").alias("message"),
     )
 
@@ -90,7 +91,7 @@ class _LogReader(DataSourceReader):
         self.path = path
 
     def read(self, partition: InputPartition):
-        text = _git(self.path, "log", "--numstat", "--no-merges").decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n")
+        text = _git(self.path, *"log --numstat --no-merges".split()).decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n")
         yield (0, text)
 
 
@@ -131,7 +132,7 @@ class _HeadReader(DataSourceReader):
             except RuntimeError:
                 data = b""
             binary = b"\0" in data[:65536]
-            last = _git(self.path, "log", "-1", "--format=%ct", "--", path).decode().strip()
+            last = _git(self.path, *"log -1 --format=%ct --".split(), path).decode().strip()
             yield (path, 0 if binary else len(data.decode(errors="replace").splitlines()), binary, int(last) if last else None)
 
 

@@ -6,7 +6,7 @@ SNIPPETS: list[tuple[str, str]] = [
     ("ts", "import { log } from './log';\n\n// loads all pages\nexport async function loadAll(urls: string[]) {\n  const seen = new Set();\n  for (const u of urls) {\n    if (seen.has(u) || !u) {\n      continue;\n    } else if (u.length > 99 && !force || dry) {\n      console.warn('long', u);\n    }\n    try {\n      const body = await get(u) ?? null;\n      console.log(body ? 'ok' : 'none');\n    } catch (e) {\n      logger.error(e);\n    }\n  }\n}\nconst twice = (x) => { return x * 2; };\n"),
     ("js", "/* header\n   of the file\n*/\nclass Cart {\n  add(item) {\n    while (item.next) {\n      item = item.next;\n    }\n    // console.log(item);\n    /* toastr.info(item) */\n    toastr.success('added');\n  }\n}\n$log.debug('x'); console.error('y');\n"),
     ("cs", "using System;\n\nnamespace Shop\n{\n    /// orders\n    public class Orders\n    {\n        public int Count(string name)\n        {\n            if (name == null && strict)\n            {\n                _logger.LogWarning(\"none\");\n                return 0;\n            }\n            foreach (var x in All())\n            {\n                switch (x.Kind)\n                {\n                    case 1: Hit(x); break;\n                    case 2: Miss(x); break;\n                }\n            }\n            try { Save(); }\n            catch (IOException e) when (e.HResult > 0) { Log.Error(e, \"io\"); }\n            finally { Close(); }\n            return a ?? b;\n        }\n        void Declared(int x);\n    }\n}\n"),
-    ("java", "package shop;\n\n/**\n * Stock.\n */\npublic class Stock {\n  private int left = 3;\n\n  public int take(int n) {\n    if (n > left || n < 0) {\n      log.warn(\"too many\");\n      return 0;\n    } else {\n      left -= n;\n    }\n    for (int i = 0; i < n; i++) {\n      if (i % 2 == 0) { System.out.println(i); }\n    }\n    String s = n > 1 ? \"{\" : \"one\";\n    logger.info(s); // done {\n    return n;\n  }\n}\n"),
+    ("java", "package shop;\n\n/**\n * Stock.\n */\npublic class Stock {\n  private int left = 3;\n\n  public int take(int n) {\n    if (n > left || n < 0) {\n      log.warn(\"too many\");\n      return 0;\n    } else {\n      left -= n;\n    }\n    for (int k = 0; k < n; k++) {\n      if (k % 2 == 0) { System.out.println(k); }\n    }\n    String s = n > 1 ? \"{\" : \"one\";\n    logger.info(s); // done {\n    return n;\n  }\n}\n"),
     ("c", "#include <stdio.h>\n/* entry */\nint main(int argc, char *argv) {\n  int i;\n  for (i = 0; i < argc; i++) {\n    if (i == 3) goto end;\n    printf(\"%d\", i);\n  }\n  fprintf(stderr, \"x\"); /* mid\n  perror(\"hidden\");\n  */\nend:\n  puts(\"bye\");\n  return 0;\n}\n"),
     ("cpp", "#include <iostream>\nstruct Node { int v; };\nint depth(Node *n) {\n  if (!n) { return 0; }\n  std::cout << n->v;\n  while (n && n->v > 0 || n->v < -9) {\n    n->v--;\n  }\n  LOG(INFO) << 1;\n  spdlog::error(\"e\");\n  return 1;\n}\n"),
     ("go", "package main\n\nfunc run(jobs chan int) {\n\tfor {\n\t\tselect {\n\t\tcase j := <-jobs:\n\t\t\tif (j > 3) {\n\t\t\t\tlog.Printf(\"job\")\n\t\t\t}\n\t\t}\n\t}\n}\n\nfunc (s *Server) Stop() {\n\tzl.Info(\"stop\")\n\tfmt.Println(\"x\")\n}\n"),
