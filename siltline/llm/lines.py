@@ -48,11 +48,10 @@ def _segments(bits: int):
         distinct, counts = np.unique(np.concatenate(hashes), return_counts=True)
         sets = [np.unique(_positions(h, bits)) for h in (distinct, distinct[counts > 1])]
         cuts = [np.searchsorted(s, np.arange(0, (1 << bits) + 1, 1 << SEGMENT, dtype=np.uint64)) for s in sets]
-        for k in range(len(cuts[0]) - 1):
+        low = np.uint64((1 << SEGMENT) - 1)
+        for k in np.flatnonzero(np.diff(cuts[0])):
             once, twice = (s[c[k] : c[k + 1]] for s, c in zip(sets, cuts))
-            if len(once):
-                low = np.uint64((1 << SEGMENT) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), *(pa.array([(x & low).astype(np.uint32).tobytes()], pa.binary()) for x in (once, twice))], ["segment", "once", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), *(pa.array([(x & low).astype(np.uint32).tobytes()], pa.binary()) for x in (once, twice))], ["segment", "once", "twice"])
 
     return run
 
@@ -70,6 +69,14 @@ def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(at + (key[0].as_py() << SEGMENT), pa.int64())], ["at"])
 
 
+def _bits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The positions of one segment of the folded filter as a bitmap."""
+    bits = np.zeros(1 << SEGMENT, bool)
+    for batch in batches:
+        bits[np.asarray(batch.column("p")) & ((1 << SEGMENT) - 1)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
+
+
 def _suspect(folded: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     small = np.uint64(len(folded) * 8 - 1)
     found = np.ones(len(hashes), bool)
@@ -96,9 +103,12 @@ def _suspects(docs: DataFrame, hashed: DataFrame) -> DataFrame:
         again = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
         found = places.join(again, "h", "left_semi").groupBy("rid").agg(F.collect_set("line_no").alias("sus"))
         return docs.join(found.hint("shuffle_hash"), "rid")
-    folded = np.zeros(1 << (max(3, min(bits, int(size * 8 - 1).bit_length())) - 3), np.uint8)
-    at = twice.toArrow()["at"].to_numpy().astype(np.uint64) & np.uint64(len(folded) * 8 - 1)
-    np.bitwise_or.at(folded, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    small = max(SEGMENT, min(bits, int(size * 8 - 1).bit_length()))
+    at = twice.select(F.col("at").bitwiseAND((1 << small) - 1).alias("p"))
+    made = at.groupBy(F.shiftright("p", SEGMENT).alias("segment")).applyInArrow(_bits, "segment bigint, bits binary").toArrow()
+    folded = np.zeros(1 << (small - 3), np.uint8)
+    for segment, part in zip(made["segment"].to_pylist(), made["bits"].to_pylist()):
+        folded[segment << (SEGMENT - 3) : (segment + 1) << (SEGMENT - 3)] = np.frombuffer(part, np.uint8)
     shared = spark.sparkContext.broadcast(folded)  # its size was checked above
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
