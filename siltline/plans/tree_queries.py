@@ -155,6 +155,10 @@ def metrics(spark, sf_dir):
     return C.file_metrics(files(spark, sf_dir))
 
 
+def _lines(spark, sf_dir, where: str):
+    return split_lines(files(spark, sf_dir).where(where).select("path", "lang", "content"))
+
+
 def pages(spark, sf_dir):
     return spark.sql("SELECT url || '#' || page_id AS path, 'html' AS lang, html AS content FROM {pages}", **a.tables(spark, sf_dir, "pages"))
 
@@ -224,8 +228,8 @@ PLANS = {
     "logical_sequences": (_sequence_counts, f"WITH {a.SOURCE_WITH}, {FILES}, {lines_cte()} SELECT path, line_no, {_runs(P.BRACE_OPERATORS)} AS brace, {_runs(P.OPERATORS['py'])} AS python, {_runs(P.OPERATORS['ruby'])} AS ruby FROM lines"),
     "function_counts": (_function_counts, f"WITH {a.SOURCE_WITH}, {FILES}, {lines_cte()} SELECT path, lang, CAST(sum({_is_function([*BRACE_LANGS, *INDENT_LANGS])}) AS BIGINT) AS declarations FROM lines GROUP BY 1, 2"),
     "cyclomatic_by_file": (lambda s, d: metrics(s, d).select("path", "cyclomatic"), sql("SELECT path, cyclomatic FROM metrics")),
-    "complexity_by_file": (lambda s, d: metrics(s, d).where(f"lang NOT IN ({_q([*INDENT_LANGS, 'html'])})"), sql(f"SELECT {_COLS} FROM braced")),
-    "complexity_indent_langs": (lambda s, d: metrics(s, d).where(f"lang IN ({_q(INDENT_LANGS)})"), sql(f"SELECT {_COLS} FROM indented")),
+    "complexity_by_file": (lambda s, d: C.brace_metrics(_lines(s, d, f"lang NOT IN ({_q([*INDENT_LANGS, 'html'])})"), "path"), sql(f"SELECT {_COLS} FROM braced")),
+    "complexity_indent_langs": (lambda s, d: C.indent_metrics(_lines(s, d, f"lang IN ({_q(INDENT_LANGS)})"), "path"), sql(f"SELECT {_COLS} FROM indented")),
     "all_files_complexity": (metrics, sql(f"SELECT {_COLS} FROM metrics")),
     "py_nesting": (_py_nesting, sql("SELECT path, line_no, CAST(nest AS BIGINT) AS nest FROM i_6 WHERE lang = 'py'")),
     "html_metrics": (lambda s, d: C.html_metrics(split_lines(pages(s, d)), "path"), f"WITH {PAGES}, {lines_cte('pages_in')}, {html_ctes('lines', 'marked')} SELECT {_COLS} FROM marked"),
