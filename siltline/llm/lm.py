@@ -5,7 +5,8 @@ word before (bigram), the two before (trigram), and the words two and three back
 frequent in the corpus have outcomes of their own, in classes by frequency; the rest share 256 hashed ones.
 
 Training covers all documents: words are counted over the whole corpus by a shuffle, and in every round each task walks once through all its texts with gradient updates from the common weights;
-the tasks' weights are shuffled by row and averaged by how often a task used the row. Scoring is one map over the documents in sparse numpy batches.
+the tasks' weights are shuffled by row and averaged by how often a task used the row. An update adds the gradients of all events of a batch that share a row; of rows with more than ``LIMIT`` events the sum is scaled to
+``LIMIT`` times their mean, as it diverges otherwise. Scoring is one map over the documents in sparse numpy batches.
 
 Scale: counts and weights gathered grow with the number of tasks, that is with the input; the model has a fixed size (12 MB), which bounds what is collected and broadcast.
 
@@ -34,6 +35,7 @@ FEATURES = 4
 BATCH = 4096
 RATE = 0.1
 ROUNDS = 1
+LIMIT = 8  # times the mean gradient that a row moves by at most in a batch; with 4 features, steps above 10 times can overshoot (the softmax's curvature is at most 1/2)
 
 
 def history(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -44,6 +46,27 @@ def history(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([mix(back[0] + salts[0]), mix(back[0] * np.uint64(0x9E3779B97F4A7C15) + back[1] + salts[1]), mix(back[1] + salts[2]), mix(back[2] + salts[3])])
 
 
+def add_summed(rows: np.ndarray, index: np.ndarray, change: np.ndarray) -> None:
+    """rows[index] += change where every event counts, also those that share a row; a row's sum is at most ``LIMIT`` times its mean."""
+    order = np.argsort(index.astype(np.uint16) if len(rows) <= 1 << 16 else index, kind="stable")  # of 16 bits: by radix
+    at = index[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    n = np.diff(starts, append=len(at))
+    fall = np.argsort((len(at) - n).astype(np.uint16 if len(at) < 1 << 16 else np.int64), kind="stable")
+    starts, n = starts[fall], n[fall]
+    total = change.take(order[starts], 0)
+    k, left = 1, int((n > 1).sum())
+    while left > 16:  # the k-th event of all rows that have one
+        total[:left] += change.take(order[starts[:left] + k], 0)
+        k += 1
+        left = int(np.searchsorted(-n, -k))
+    for i in range(left):
+        total[i] += change.take(order[starts[i] + k : starts[i] + n[i]], 0).sum(0)
+    many = int(np.searchsorted(-n, -LIMIT))
+    total[:many] *= (LIMIT / n[:many]).astype(np.float32)[:, None]
+    rows[at[starts]] += total
+
+
 class Model:
     def __init__(self, words: np.ndarray, counts: np.ndarray, rare: np.ndarray) -> None:
         """words: the hashes of the most frequent, by falling count; counts: theirs; rare: counts of the 256 hashed outcomes."""
@@ -66,16 +89,16 @@ class Model:
         return np.where(self.sorted[at] == words, self.ids[at], rare)
 
     def step(self, outcome: np.ndarray, features: np.ndarray, rate: float = 0.0, used: list[list[np.ndarray]] | None = None) -> np.ndarray:
-        """Natural log probabilities of a batch; with a rate, a gradient update follows (of events that share a row the last one counts)."""
+        """Natural log probabilities of a batch; with a rate, a gradient update follows."""
         c, w = outcome // SIDE, outcome % SIDE
         at = np.arange(len(outcome))
         total = np.zeros(len(outcome), np.float32)
         class_at = (features & np.uint64(CLASS_ROWS - 1)).astype(np.int64)
         word_at = (mix(features + c.astype(np.uint64)) & np.uint64(WORD_ROWS - 1)).astype(np.int64)
         for k, (rows, index, bias, target) in enumerate(((self.class_rows, class_at, self.class_bias, c), (self.word_rows, word_at, self.word_bias[c], w))):
-            logits = bias + rows[index[0]]
+            logits = bias + rows.take(index[0], 0)
             for i in index[1:]:
-                logits += rows[i]
+                logits += rows.take(i, 0)
             np.minimum(logits, 80, out=logits)
             p = np.exp(logits)
             norm = p.sum(1, keepdims=True)
@@ -84,7 +107,7 @@ class Model:
                 p *= -rate / norm
                 p[at, target] += rate
                 for i in index:
-                    rows[i] += p
+                    add_summed(rows, i, p)
                 used[k].append(index.ravel())
         return total
 

@@ -289,6 +289,22 @@ def test_lm_probabilities_sum_to_one():
     assert abs(np.exp(model.step(np.arange(lm.SIDE**2), features)).sum() - 1) < 1e-3
 
 
+def test_lm_equal_events_of_a_batch_both_count():
+    def moved(n):
+        model = lm.Model(np.array([5, 9], np.uint64), np.array([3, 2]), np.ones(256))
+        model.step(np.zeros(n, int), np.repeat(np.array([[1], [2], [3], [4]], np.uint64), n, 1), 0.1, [[], []])
+        return model.class_rows[1], model.word_rows
+
+    one, two, many = moved(1), moved(2), moved(40)
+    assert all(np.any(a) and np.allclose(b, 2 * a) and np.allclose(c, lm.LIMIT * a) for a, b, c in zip(one, two, many))
+    rng = np.random.default_rng(3)
+    index, change = rng.zipf(1.5, 4096) % 700, rng.normal(size=(4096, lm.SIDE)).astype(np.float32)
+    got, want = np.zeros((2, 1 << 14, lm.SIDE), np.float32)
+    lm.add_summed(got, index, change)
+    np.add.at(want, index, change)
+    assert np.allclose(got, want * np.minimum(1, lm.LIMIT / np.maximum(np.bincount(index, minlength=1 << 14), 1))[:, None], atol=1e-3)
+
+
 def test_lm_odd(spark):
     rows = lm.scored(odd(spark), lm.train(odd(spark))).collect()
     assert len(rows) == 13 and all((r.perplexity is None) == (r.n_words == 0) for r in rows)
