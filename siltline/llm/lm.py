@@ -2,13 +2,15 @@
 
 The next word's probability is p(class | history) p(word | class, history); both are softmaxes over 64 outcomes whose logits sum hashed weights of four features of the history: the
 word before (bigram), the two before (trigram), and the words two and three back alone (skips), above the unigram as bias. The 3840 words that are most
-frequent in the corpus have outcomes of their own, in classes by frequency; the rest share 256 hashed ones.
+frequent in the corpus have outcomes of their own, in classes by frequency; the rest share 256 hashed ones, and of a shared outcome's probability a word gets its share of the outcome's count in the corpus.
+All words that the corpus doesn't have share one more occurrence of each outcome.
 
 Training covers all documents: words are counted over the whole corpus by a shuffle, and in every round each task walks once through all its texts with gradient updates from the common weights;
 the tasks' weights are shuffled by row and averaged by how often a task used the row. An update adds the gradients of all events of a batch that share a row; of rows with more than ``LIMIT`` events the sum is scaled to
 ``LIMIT`` times their mean, as it diverges otherwise. Scoring is one map over the documents in sparse numpy batches.
 
-Scale: counts and weights gathered grow with the number of tasks, that is with the input; the model has a fixed size (12 MB), which bounds what is collected and broadcast.
+Scale: counts and weights gathered grow with the number of tasks, that is with the input. The weight tables have a row for each history the corpus can have, up to ``CLASS_ROWS`` and ``WORD_ROWS`` (48 MB); beyond that, histories share rows.
+Counts of up to ``HELD`` words are broadcast (12 MB); those of rarer words that occur more than once are joined, so that every word has its own.
 
 Defined cases: a null text, or one without a word, has n_words 0 and null scores; repeated rows get equal scores; doc_id may be null; a word is a lower-cased run of letters, digits and underscores;
 an empty table gives no rows; further columns are ignored, whatever their names. Scores depend slightly on how the texts fall into tasks, as the order of updates does.
@@ -30,7 +32,8 @@ from .words import buffers, mix, pieces, word_hashes
 
 SIDE = 64  # classes, and words of a class
 TOP = 60 * SIDE
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
+CLASS_ROWS, WORD_ROWS = 1 << 16, 1 << 17  # at most
+HELD = 1 << 20
 FEATURES = 4
 BATCH = 4096
 RATE = 0.1
@@ -68,8 +71,10 @@ def add_summed(rows: np.ndarray, index: np.ndarray, change: np.ndarray) -> None:
 
 
 class Model:
-    def __init__(self, words: np.ndarray, counts: np.ndarray, rare: np.ndarray) -> None:
-        """words: the hashes of the most frequent, by falling count; counts: theirs; rare: counts of the 256 hashed outcomes."""
+    tail: DataFrame | None = None  # (h, n) of words that occur more than once and aren't held; stays with the driver
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, rare: np.ndarray, histories: int = 0) -> None:
+        """words: the hashes of the most frequent, by falling count; counts: theirs; rare: counts of the 256 hashed outcomes; histories: how many there may be."""
         order = np.argsort(words)
         self.sorted, self.ids = words[order], order
         full = np.zeros(SIDE * SIDE)
@@ -78,8 +83,30 @@ class Model:
         full = full.reshape(SIDE, SIDE) + 0.1
         self.class_bias = np.log(full.sum(1) / full.sum()).astype(np.float32)
         self.word_bias = np.log(full / full.sum(1, keepdims=True)).astype(np.float32)
-        self.class_rows = np.zeros((CLASS_ROWS, SIDE), np.float32)
-        self.word_rows = np.zeros((WORD_ROWS, SIDE), np.float32)
+        rows = 1 << max(10, int(histories - 1).bit_length())
+        self.class_rows = np.zeros((min(rows, CLASS_ROWS), SIDE), np.float32)
+        self.word_rows = np.zeros((min(2 * rows, WORD_ROWS), SIDE), np.float32)
+        self.rare_logs = np.log(rare + 1.0)
+        self.hold(np.zeros(0, np.uint64), np.zeros(0))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tail"}
+
+    def hold(self, words: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(words)
+        self.held, self.held_logs = words[order], np.log(counts[order]).astype(np.float32)
+
+    def shares(self, words: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log of each word's share of its outcome, the words whose count isn't held and was taken as 1)."""
+        logs = np.zeros(len(words))
+        rare = np.flatnonzero(outcome >= TOP)
+        logs[rare] = -self.rare_logs[outcome[rare] - TOP]
+        if not len(self.held):
+            return logs, rare
+        at = np.minimum(np.searchsorted(self.held, words[rare]), len(self.held) - 1)
+        found = self.held[at] == words[rare]
+        logs[rare[found]] += self.held_logs[at[found]]
+        return logs, rare[~found]
 
     def outcomes(self, words: np.ndarray) -> np.ndarray:
         rare = TOP + (words % np.uint64(SIDE * SIDE - TOP)).astype(np.int64)
@@ -93,8 +120,8 @@ class Model:
         c, w = outcome // SIDE, outcome % SIDE
         at = np.arange(len(outcome))
         total = np.zeros(len(outcome), np.float32)
-        class_at = (features & np.uint64(CLASS_ROWS - 1)).astype(np.int64)
-        word_at = (mix(features + c.astype(np.uint64)) & np.uint64(WORD_ROWS - 1)).astype(np.int64)
+        class_at = (features & np.uint64(len(self.class_rows) - 1)).astype(np.int64)
+        word_at = (mix(features + c.astype(np.uint64)) & np.uint64(len(self.word_rows) - 1)).astype(np.int64)
         for k, (rows, index, bias, target) in enumerate(((self.class_rows, class_at, self.class_bias, c), (self.word_rows, word_at, self.word_bias[c], w))):
             logits = bias + rows.take(index[0], 0)
             for i in index[1:]:
@@ -121,10 +148,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(counts)], ["h", "n"])
 
 
-def _events(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _events(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for i, j, body, offsets in pieces(*buffers(texts)):
         words, first = word_hashes(body, offsets)
-        yield i, j, first, model.outcomes(words), history(words, first) if len(words) else np.zeros((FEATURES, 0), np.uint64)
+        yield i, j, first, words, model.outcomes(words), history(words, first) if len(words) else np.zeros((FEATURES, 0), np.uint64)
 
 
 def _train(shared, rate: float):
@@ -136,8 +163,8 @@ def _train(shared, rate: float):
             if model is None:
                 model = copy.copy(shared.value)
                 model.class_rows, model.word_rows = model.class_rows.copy(), model.word_rows.copy()
-                used = [np.zeros(CLASS_ROWS, np.int64), np.zeros(WORD_ROWS, np.int64)]
-            for _, _, _, outcome, features in _events(model, batch.column(0)):
+                used = [np.zeros(len(model.class_rows), np.int64), np.zeros(len(model.word_rows), np.int64)]
+            for *_, outcome, features in _events(model, batch.column(0)):
                 touched: list[list[np.ndarray]] = [[], []]
                 for a in range(0, len(outcome), BATCH):
                     model.step(outcome[a : a + BATCH], features[:, a : a + BATCH], rate, touched)
@@ -145,7 +172,7 @@ def _train(shared, rate: float):
                     if t:
                         n += np.bincount(np.concatenate(t), minlength=len(n))
         if model is not None:
-            for base, rows, n in ((0, model.class_rows, used[0]), (CLASS_ROWS, model.word_rows, used[1])):
+            for base, rows, n in ((0, model.class_rows, used[0]), (len(model.class_rows), model.word_rows, used[1])):
                 full = np.flatnonzero(n)
                 for a in range(0, len(full), 8192):
                     part = full[a : a + 8192]
@@ -179,12 +206,13 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
     top = counts.orderBy(F.desc("n"), "h").limit(TOP).toArrow()
     words = np.asarray(top["h"]).view(np.uint64)
     rest = SIDE * SIDE - TOP
-    all_rare = np.zeros(rest)
+    all_rare, n_words, distinct = np.zeros(rest), 0, 0
     unsigned = ((F.col("h") % rest) + F.when(F.col("h") < 0, F.lit((1 << 64) % rest)).otherwise(F.lit(0)) + rest) % rest  # h as an unsigned number
-    for slot, n in counts.groupBy(unsigned.cast("int").alias("slot")).agg(F.sum("n").alias("n")).collect():
+    for slot, n, m in counts.groupBy(unsigned.cast("int").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect():
         all_rare[slot] = n
+        n_words, distinct = n_words + n, distinct + m
     all_rare -= np.bincount((words % np.uint64(rest)).astype(np.int64), np.asarray(top["n"]), rest)
-    model = Model(words, np.asarray(top["n"]), all_rare)
+    model = Model(words, np.asarray(top["n"]), all_rare, n_words + 3 * distinct)  # at most a trigram for each word, and one history of each other feature for each distinct word
     spark = docs.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -194,9 +222,20 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
         rows = np.asarray(mean["row"])
         if len(rows):
             values = np.frombuffer(b"".join(mean["w"].to_pylist()), np.float32).reshape(len(rows), SIDE)
-            low = rows < CLASS_ROWS
+            low = rows < len(model.class_rows)
             model.class_rows[rows[low]] = values[low]
-            model.word_rows[rows[~low] - CLASS_ROWS] = values[~low]
+            model.word_rows[rows[~low] - len(model.class_rows)] = values[~low]
+    size, again = F.floor(F.log2("n") * 16), counts.where("n > 1")
+    least, room = None, HELD
+    for b, n in sorted(again.groupBy(size.alias("b")).count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            model.tail = again if least is None else again.where(size < least)
+            break
+        least = b
+    if least is not None:
+        held = again.where(size >= least).toArrow()
+        model.hold(np.asarray(held["h"]).view(np.uint64), np.asarray(held["n"]))
     return model
 
 
@@ -204,23 +243,29 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for i, j, first, outcome, features in _events(model, batch.column(1)):
+            for i, j, first, words, outcome, features in _events(model, batch.column(1)):
                 logs = [model.step(outcome[a : a + BATCH], features[:, a : a + BATCH]) for a in range(0, len(outcome), BATCH)]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs), dtype=np.float64)]) if logs else np.zeros(1)
+                shares, missing = model.shares(words, outcome)
+                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs) + shares)]) if logs else np.zeros(1)
                 n = np.diff(first)
                 total = (sums[first[1:]] - sums[first[:-1]]) / np.log(2)
-                bits = -total / np.maximum(n, 1)
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(total, mask=none), pa.array(bits, mask=none), pa.array(np.exp2(bits), mask=none)], ["doc_id", "n_words", "log2_prob", "bits_per_word", "perplexity"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, first), pa.int32()), pa.array(words[missing].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(total, mask=n == 0), lists], ["doc_id", "n_words", "log2_prob", "missing"])
 
     return run
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The scores of all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_score(shared), f"doc_id {kind}, n_words bigint, log2_prob double, bits_per_word double, perplexity double")
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_score(shared), f"doc_id {kind}, n_words bigint, log2_prob double, missing array<bigint>")
+    if model.tail is not None:
+        out = stored(out.withColumn("row", F.monotonically_increasing_id()), "word-scores")  # written, so that a row keeps its number
+        more = out.select("row", F.explode("missing").alias("h")).join(model.tail, "h").groupBy("row").agg(F.sum(F.log2("n")).alias("more"))
+        out = out.drop("missing").join(more, "row", "left").withColumn("log2_prob", F.col("log2_prob") + F.coalesce("more", F.lit(0.0)))
+    bits = -F.col("log2_prob") / F.col("n_words")
+    return out.select("doc_id", "n_words", "log2_prob", F.when(F.col("n_words") > 0, bits).alias("bits_per_word"), F.when(F.col("n_words") > 0, F.pow(F.lit(2.0), bits)).alias("perplexity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

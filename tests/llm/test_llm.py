@@ -305,6 +305,23 @@ def test_lm_equal_events_of_a_batch_both_count():
     assert np.allclose(got, want * np.minimum(1, lm.LIMIT / np.maximum(np.bincount(index, minlength=1 << 14), 1))[:, None], atol=1e-3)
 
 
+def test_lm_rare_words_share_an_outcome(spark, monkeypatch):
+    many = [f"r{i}" for i in range(6000)]
+    docs = documents(spark, [(0, " ".join(w for i, w in enumerate(many) for _ in range(9 if i < 4500 else 1 + i % 5)))])
+    test = documents(spark, [(i, w) for i, w in enumerate([*many, "unseen"])] + [(0, many[0])])
+    bits = {}
+    for held in (1 << 20, 5000, 0):  # the counts of none, of some and of all words are joined
+        monkeypatch.setattr(lm, "HELD", held)
+        model = lm.train(docs)
+        assert (model.tail is None) == (held > 6000)
+        rows = lm.scored(test, model).collect()
+        assert len(rows) == 6002
+        bits[held] = {r.doc_id: r.bits_per_word for r in rows}
+        assert 0.9 < sum(2**-b for b in bits[held].values()) < 1.01
+    assert all(abs(bits[h][i] - b) < 1e-4 for i, b in bits[1 << 20].items() for h in (5000, 0))
+    assert len(model.class_rows) == lm.Model(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(256), 60000).class_rows.shape[0] > len(lm.train(test.limit(9)).class_rows)
+
+
 def test_lm_odd(spark):
     rows = lm.scored(odd(spark), lm.train(odd(spark))).collect()
     assert len(rows) == 13 and all((r.perplexity is None) == (r.n_words == 0) for r in rows)
