@@ -286,7 +286,10 @@ def extracted(pages: DataFrame, max_set: int = MAX_SET) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), F.col("html").cast("string").alias("html"))
     rid = F.xxhash64("host", "html")
     copies = stored(rows.where("html IS NOT NULL").groupBy(rid.alias("same")).agg(F.count("*").alias("n"), F.min("page_id").alias("one")).where("n > 1").select("same", "one"), "site-copies")
-    real = rows.where("html IS NOT NULL").join(F.broadcast(copies) if copies.count() <= max_set else copies, rid == F.col("same"), "left").where("same IS NULL OR page_id <=> one").select("host", "html")  # copies of a page count as one page
+    real = rows.where("html IS NOT NULL").join(F.broadcast(copies) if copies.count() <= max_set else copies, rid == F.col("same"), "left").where("same IS NULL OR page_id <=> one")
+    if copies.head(1):  # copies of a page count as one page, also those with one page_id or none
+        real = real.where("same IS NULL").unionByName(real.where("same IS NOT NULL").dropDuplicates(["same"]))
+    real = real.select("host", "html")
     shared = stored(real.mapInArrow(_styles, "style bigint, n bigint").groupBy("style").agg(F.sum("n").alias("n")).where("n > 1").select("style"), "site-styles")
     few = shared.count() <= max_set
     known = spark.sparkContext.broadcast(frozenset(shared.toArrow()["style"].to_pylist())) if few else None  # its size was just checked

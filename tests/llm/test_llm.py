@@ -373,6 +373,14 @@ def test_site_noise_goes_and_stories_stay(spark):
     assert sorted(map(str, sitetree.extracted(pages, 0).collect())) == sorted(map(str, rows.values()))
 
 
+@pytest.mark.parametrize("ids", [[7] * 6, [None] * 6, [7, 7, 8, None, None, 9]])
+def test_repeated_pages_count_as_one(spark, ids):
+    html = "<html><body><h1>Only page</h1><p>Its text</p></body></html>"
+    pages = spark.createDataFrame([(i, "http://one.example/", html) for i in ids], "page_id int, url string, html string")
+    for most in (sitetree.MAX_SET, 0):
+        assert [r.text for r in sitetree.extracted(pages, most).collect()] == ["Only page\nIts text"] * 6
+
+
 def test_pages_odd(spark):
     long = "<p>" + "word " * 50000 + "</p>"
     rows = [(1, None, None), (2, "", ""), (3, "http://b/", "plain <b>x"), (4, "http://b:80/x", "<p>one<p>two</b></div>"), (5, "nonsense", long), (None, "http://c/", "<div class='a>b'>&lt;ok</div><!-- no"), (6, "http://d/", "<div>same text</div>"), (7, "http://d/1", "<div>same text</div>"), (6, "http://d/", "<div>same text</div>")]
