@@ -16,6 +16,10 @@ from siltline.sources import gitlog, tree
 _NAMES = {"cc": "cyclomatic", "cog": "cognitive", "nest": "nesting", "fn": "functions_per_file"}
 
 
+# sections of the text of which the reference prints the first only; the others are printed whole
+_SHOWN = {"top_files": 20, "top_files_by_churn": 20, "authors": 20, "module_bugs": 20, "module_features": 20, "files": 20}
+
+
 def rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
@@ -92,7 +96,7 @@ def as_text(report: dict, title: str) -> str:
             out.append(f"\n{pad}{name.upper().replace('_', ' ')}")
             columns = [c for c in value[0] if not isinstance(value[0][c], (list, dict))]
             out.append(pad + "  " + "  ".join(columns))
-            for r in value[:20]:
+            for r in value[: _SHOWN.get(name)]:
                 cells = [f"{r[c]:.3f}" if isinstance(r[c], float) else str(r[c])[:60] for c in columns]
                 out.append(pad + "  " + "  ".join(cells) + ("  " + "#" * int(50 * r["share"]) if "share" in r else ""))
         else:

@@ -98,6 +98,12 @@ def test_exclusion(spark):
             assert bool(found) == fnmatch.fnmatchcase(name, glob), (glob, name)
 
 
+def test_text_has_all_rows_but_of_limited_sections():
+    listed = [{"label": f"row {i:02}", "n": i} for i in range(50)]
+    for name, n in (("years", 50), ("monthly_bugs_vs_features", 50), ("modules", 50), ("buckets", 50), ("top_modules", 50), ("authors", 20), ("module_bugs", 20), ("module_features", 20)):
+        assert report.as_text({name: listed}, "t").count("row ") == n
+
+
 def test_tree_git_and_reports(spark, tmp_path):
     (tmp_path / "pkg").mkdir()
     (tmp_path / "node_modules").mkdir()
