@@ -91,9 +91,10 @@ class Best:
         self.visited += len(rows)
         at = slice(tree.begins[tree.leaves[leaf]], tree.ends[tree.leaves[leaf]])
         ids, vectors = tree.ids[at], tree.vectors[at]
-        rough = (self.single[rows] @ tree.single[at].T).max(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = (self.single[rows] @ tree.single[at].T).max(1)
         slack = 1e-5 * (1 + self.norms[rows] * np.sqrt(np.square(vectors).sum(1).max())) + 10.0**-DIGITS
-        rows = rows[rough + slack >= self.scores[rows, -1]]
+        rows = rows[~np.isfinite(rough) | (rough + slack >= self.scores[rows, -1])]  # single precision may overflow
         if not len(rows):
             return
         scores = np.round(self.vectors[rows] @ vectors.T, DIGITS) + 0.0

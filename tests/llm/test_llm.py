@@ -259,6 +259,15 @@ def test_ball_tree_prunes():
     assert np.allclose(best.scores, -np.sort(-s, 1)[:, :5]) and best.visited < 0.3 * len(x) * len(topk.Tree(np.arange(len(x)), x).leaves)
 
 
+def test_top_k_of_extreme_vectors():
+    x = np.random.default_rng(4).normal(size=(300, 48)) * 1e25
+    best = topk.Best(np.arange(300), x, 5)
+    best.search(topk.Tree(np.arange(300), x))
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert np.allclose(best.scores, -np.sort(-s, 1)[:, :5])
+
+
 # language model
 
 
