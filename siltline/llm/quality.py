@@ -12,7 +12,7 @@ scoring is one map over all documents with the model broadcast, and shuffles not
 
 Defined cases: a null or empty text has no words and is scored by its statistics and metadata alone; null metadata is a value
 of its own; labels with a null in doc_id, quality or toxic are left out; repeated labels count once, and contradicting ones
-by their means; with no usable label, or none of one class, that head gives its constant (nothing is rejected with no label at all).
+by their means; of documents with one doc_id one is learned from; with no usable label, or none of one class, that head gives its constant (nothing is rejected with no label at all).
 Repeated rows get equal scores. Further columns are carried by ``keep``, whatever their names.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches, table
+from .common import fresh, row_key, small_batches, table
 from .words import PIECE, buffers, pieces, word_hashes
 
 BUCKETS = 1 << 20
@@ -38,7 +38,7 @@ WIDTH = BUCKETS + STATS * STEPS + 2 * META
 RANK = 4
 MAX_TRAIN = 16000
 PREFIXES = (3, 5)  # word beginnings of so many bytes are features as well, for inflected and coined words
-MIN_DOCS = 12  # a feature in fewer training documents has no weight
+MIN_SHARE = 3 / 4000  # a feature in a smaller share of the training documents has no weight
 EPOCHS = 6
 BATCH = 128
 RATE = 0.2
@@ -141,7 +141,7 @@ def fit(ids: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seed: int = 1
     often = np.zeros(WIDTH, np.int64)
     for a in range(0, len(ids), 1 << 20):  # in parts, as the counting copies them
         often += np.bincount(ids[a : a + (1 << 20)], minlength=WIDTH)
-    often = often >= MIN_DOCS
+    often = often >= max(1.0, n * MIN_SHARE)
     used = np.flatnonzero(often)
     local = np.full(WIDTH, -1, np.int32)
     local[used] = np.arange(len(used))
@@ -167,7 +167,7 @@ def fit(ids: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seed: int = 1
             grown = np.repeat(error, sizes, 0)[:, :, None]
             grad = np.concatenate([grown, grown * (np.repeat(total[:, :, 1:], sizes, 0) - x[:, :, 1:])], 2).reshape(len(part), 2 * (1 + RANK))
             distinct, where = np.unique(part, return_inverse=True)
-            step = np.stack([np.bincount(where, grad[:, c], len(distinct)) for c in range(grad.shape[1])], 1).reshape(-1, 2, 1 + RANK)
+            step = np.stack([np.bincount(where, grad[:, c], len(distinct)) for c in range(grad.shape[1])], 1).astype(float).reshape(-1, 2, 1 + RANK)  # of nothing, bincount makes integers
             step += DECAY * weights[distinct] * heads[:, None]
             past[distinct] += step * step
             weights[distinct] -= rate * step / np.sqrt(past[distinct])
@@ -190,12 +190,13 @@ def _meta(docs: DataFrame, name: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Machine:
-    """Fit on at most ``max_train`` labelled documents, chosen by the hash of doc_id."""
+    """Fit on at most ``max_train`` labelled documents, chosen by the hash of doc_id; of documents that share one, that with the least row key counts."""
     small_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("good"), F.col("toxic").cast("double").alias("toxic")).where("doc_id IS NOT NULL AND good IS NOT NULL AND toxic IS NOT NULL")
     some = usable.groupBy("doc_id").agg(F.avg("good").alias("good"), F.avg("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"), _meta(docs, "lang").alias("l"), _meta(docs, "source").alias("s")).join(F.broadcast(some), "doc_id")  # max_train rows at most
-    got = chosen.select("good", "toxic", "text", "l", "s").mapInArrow(_extract, "good double, toxic double, ids array<int>").toArrow()
+    named = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.col("text").cast("string").alias("text"), _meta(docs, "lang").alias("l"), _meta(docs, "source").alias("s"))
+    chosen = named.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("good").alias("good"), F.first("toxic").alias("toxic"), F.min(F.struct("k", "text", "l", "s")).alias("d"))  # some and chosen: max_train rows at most
+    got = chosen.select("good", "toxic", "d.text", "d.l", "d.s").mapInArrow(_extract, "good double, toxic double, ids array<int>").toArrow()
     if not got.num_rows:
         return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 2)))
     flat = got["ids"].combine_chunks()
@@ -210,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
 
 
 def scored(docs: DataFrame, model: Machine, name: str = "__quality") -> DataFrame:
-    """``docs`` with a struct column ``name`` of (good, toxic), both probabilities."""
+    """``docs`` with a struct column ``name`` of (good, toxic), both probabilities; where docs has such a column, the name gets a number."""
+    (name,) = fresh(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WIDTH: 4 MB, and 40 bytes for each feature of the training rows
 
     @F.arrow_udf(T.StructType([T.StructField("good", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
@@ -231,5 +233,5 @@ def keep(docs: DataFrame, model: Machine) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    marked = scored(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", F.col("__quality.good").alias("quality_score"), F.col("__quality.toxic").alias("toxic_score"))
+    marked = scored(docs, train(docs, table(spark, sf_dir, "labels")), "p").select("doc_id", F.col("p.good").alias("quality_score"), F.col("p.toxic").alias("toxic_score"))
     return marked.withColumn("keep", F.expr("quality_score >= 0.5 AND toxic_score < 0.5"))

@@ -10,6 +10,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siltline.llm import bpe, chat, lines, lm, minhash, packing, quality, registry, sitetree, topk, vectors, words
 from siltline.llm.common import components
@@ -226,11 +227,35 @@ def test_factorisation_identity():
         assert np.allclose(got[d], want, atol=1e-5)
 
 
+@pytest.mark.parametrize("n", [1, 2, 11, 12, 13])
+def test_quality_fits_few_labels(n):
+    rng = np.random.default_rng(n)
+    ids, offsets = rng.choice(5000, 20 * n, False), np.arange(0, 20 * n + 1, 20)
+    targets = np.stack([np.arange(n) % 2, np.zeros(n)], 1).astype(float)
+    p = quality.fit(ids, offsets, targets).logits(ids, offsets)
+    assert np.isfinite(p).all() and (n == 1 or ((p[:, 0] > 0) == (targets[:, 0] > 0.5)).all()) and (p[:, 1] < 0).all()
+    assert np.isfinite(quality.fit(np.zeros(0, int), np.zeros(n + 1, int), targets).bias).all()  # documents without a feature
+
+
+def test_quality_learns_one_document_of_an_id(spark):
+    docs = documents(spark, [(1, f"copy {i}") for i in range(50)] + [(2, "another text"), (None, "x")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
+    sizes = []
+    kept, quality.fit = quality.fit, lambda ids, offsets, targets: sizes.append(len(targets))
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.fit = kept
+    assert sizes == [2]
+
+
 def test_quality_odd(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality.keep(odd(spark), quality.train(odd(spark), none)).count() == 13  # nothing learned, nothing rejected
     one = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (7, 0, 0)], "doc_id bigint, quality int, toxic int")
     scored = quality.scored(odd(spark), quality.train(odd(spark), one))
+    clash = quality.scored(odd(spark).withColumn("__Quality", F.lit(3)), quality.train(odd(spark), one))
+    assert clash.where("__Quality = 3 AND __quality_1.good IS NOT NULL").count() == 13
     assert scored.where("isnan(__quality.good) OR __quality.good IS NULL").count() == 0 and quality.keep(empty(spark), quality.train(empty(spark), one)).columns == empty(spark).columns
 
 
