@@ -172,7 +172,7 @@ def fit(ids: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seed: int = 1
             past[distinct] += step * step
             weights[distinct] -= rate * step / np.sqrt(past[distinct])
             bias = bias - 0.05 * error.sum(0)
-    return Machine(bias, used, weights.reshape(len(used), -1) * np.repeat(heads, 1 + RANK))
+    return Machine(bias, used, weights.reshape(len(used), 2 * (1 + RANK)) * np.repeat(heads, 1 + RANK))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
