@@ -265,7 +265,7 @@ def test_quality_odd(spark):
 def test_top_k_odd(spark):
     rows = [(i, [float(i % 7), 1.0, float(i)], 1) for i in range(40)] + [(100, None, 1), (101, [], 1), (102, [1.0, None, 2.0], 1), (103, [float("nan"), 0.0, 0.0], 1), (None, [1.0, 1.0, 1.0], 1), (104, [1.0, 2.0], 1), (5, [5.0, 1.0, 5.0], 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int")
-    got = {(r.query_id, r.rank): (r.neighbor_id, r.score) for r in topk.top(df, 3, 16).collect()}
+    got = {(r.query_id, r.rank): (r.neighbor_id, r.score) for r in topk.top(df, 3, shard=16).collect()}
     v = {i: np.array(e) for i, e, _ in rows[:40]}
     for q in v:
         best = sorted((-round(float(v[q] @ v[i]), 6), i) for i in v if i != q)[:3]
@@ -284,6 +284,23 @@ def test_ball_tree_prunes():
     assert np.allclose(best.scores, -np.sort(-s, 1)[:, :5]) and best.visited < 0.3 * len(x) * len(topk.Tree(np.arange(len(x)), x).leaves)
 
 
+@pytest.mark.parametrize("seeds", [3, 16])
+def test_top_k_in_chunks_equals_brute_force(spark, monkeypatch, seeds):
+    monkeypatch.setattr(topk, "SEEDS", seeds)  # 10 shards: in two passes, and in one
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    x[40:60] = x[0]  # ties
+    df = spark.createDataFrame([(i - 30, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in topk.top(df, 4, every=5, shard=30, chunk_bytes=600).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.neighbor_id, r.score))
+    assert sorted(got) == list(range(-30, 270, 5))
+    for q, rows in got.items():
+        s = np.round(x @ x[q + 30], 6)
+        want = sorted((-s[i], i - 30) for i in range(300) if i - 30 != q)[:4]
+        assert [(a, b) for _, a, b in sorted(rows)] == [(i, -v) for v, i in want]
+
+
 def test_top_k_of_extreme_vectors():
     x = np.random.default_rng(4).normal(size=(300, 48)) * 1e25
     best = topk.Best(np.arange(300), x, 5)
