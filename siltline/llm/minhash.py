@@ -2,18 +2,21 @@
 
 Each of 64 permutations of a document's word 3-grams gives two values, the least and the greatest hash, so 128 values cost
 64 hash evaluations. The share of agreeing values estimates the Jaccard similarity without bias and with less variance than
-128 independent minima would have. 32 bands of 4 values (two permutations each) propose candidates; a pair is a duplicate if
-at least half of the 128 values agree; duplicates of duplicates form one group, whose least ``doc_id`` stays.
+128 independent minima would have. 32 bands of 4 values (two permutations each) propose candidates; two documents are linked if
+at least half of the 128 values agree; linked documents form classes, of which the one with the least ``doc_id`` stays.
 
-Scale: one map pass over the texts makes 256-byte signatures; texts are never shuffled. Equal signatures are one node from
-there on, so a thousand copies cost as much as one. Band keys are grouped; only buckets with two or more different signatures
-go on, each bucket once however many bands made it. Within a bucket the components are found exactly, by a search that
-compares with unreached members only; there is no cap on buckets or partners.
+Scale: one map pass over the texts makes 256-byte signatures; from there on only these move. Documents with equal signatures
+are one node, found by map-side combine, so a third of all rows may be copies. Buckets are never lists: a bucket of ``BLOCK``
+signatures or more is compared by pairs of blocks, one bucket stands for all that have the same members, and a pair that shares several is counted in the first.
+All pairs of a bucket are compared, and none is emitted: a task sends the edges that connect its block, and each node's number of links.
+There is no cap on buckets or partners. ``dedup`` moves only texts that a Bloom filter of the rows that go lets through.
 
 Defined cases: a document without words (null, empty, only signs) is no duplicate of anything; fewer than three words make
 one shingle of what there is; rows that agree in doc_id and text are copies (``dedup`` keeps one of them); a null doc_id
-comes last in the order; the first in order of (doc_id, row key) stays; further columns are carried, whatever their names.
-An empty table gives an empty result.
+comes last in the order; further columns are carried by ``dedup``, whatever their names. Words are runs of ASCII letters, digits, "_" and all
+other non-ASCII characters, lower-cased in ASCII and Latin-1 only, so an unspaced text (Chinese) is few words. An empty table gives an empty result.
+
+Result of ``classed``, a row for each document: doc_id, class_id (the doc_id that stays), class_size (documents), copies (documents with this signature), links (different signatures it is linked to), keep.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, kept_rows, pairs_of, placed, row_key, stored, table
+from .common import LINKS, classes, kept_rows, links_of, row_key, stored, table
 from .words import buffers, mix, pieces, word_hashes
 
 PERMUTATIONS = 64
 SHINGLE = 3
 THRESHOLD = 0.5
 BAND = 4  # 16-bit values, so that a band is a 64-bit number
+BLOCK = 2048
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _A = _RNG.integers(0, 1 << 31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -65,72 +69,99 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = 2 * PERMUTATIONS // BAND
     for batch in batches:
-        keys, rows, sigs = np.asarray(batch.column(0)), [], []
-        for i, j, body, offsets in pieces(*buffers(batch.column(1))):
+        rows, sigs = [np.zeros(0, np.int64)], [np.zeros((0, 2 * PERMUTATIONS), np.uint16)]
+        for i, j, body, offsets in pieces(*buffers(batch.column(3))):
             hashes, first = shingles(*word_hashes(body, offsets))
             full = np.flatnonzero(np.diff(first))
             if len(full):
                 rows.append(full + i)
                 sigs.append(signatures(hashes, first[full]))
-        if rows:
-            rows, flat = np.concatenate(rows), np.concatenate(sigs).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), flat.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), lists], ["rid", "sig"])
-
-
-def links(ids: np.ndarray, values: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Edges that connect each component of a bucket. values: a row of 16-bit values for each id."""
-    need, edges, left = threshold * values.shape[1], [], np.arange(len(ids))
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            one = front.pop()
-            near = (values[left] == values[one]).sum(1) >= need
-            edges += [(int(ids[one]), int(ids[x])) for x in left[near]]
-            front += list(left[near])
-            left = left[~near]
-    return edges
-
-
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, flat = np.concatenate(rows), np.concatenate(sigs).view(np.int64)
+        has = np.zeros(batch.num_rows, np.int64)
+        has[rows] = width
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has)]).astype(np.int32)), pa.array(flat.ravel()), mask=pa.array(has == 0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["doc_id", "k", "l", "sig"])
+
+
+def links(sigs: np.ndarray, band: int, left: np.ndarray | None = None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of the linked pairs of a bucket of this band that share no band before it. sigs: a row of 64-bit bands for each; left: pairs are of one of these and one of the others, else of any two."""
+    values = sigs.view(np.uint16)
+    need, xs, ys = threshold * values.shape[1], [], []
+    one, others = (np.arange(len(sigs)), None) if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+    for x in one:
+        rest = np.arange(x + 1, len(sigs)) if others is None else others
+        if band:
+            rest = rest[~(sigs[rest, :band] == sigs[x, :band]).any(1)]
+        near = rest[(values[rest] == values[x]).sum(1) >= need]
+        if len(near):
+            xs.append(np.full(len(near), x))
+            ys.append(near)
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, key, i, j, block, sid, sig) sorted by the first four: a run of them is a bucket, or a pair of blocks of it."""
+    rest = None
+
+    def runs(whole: pa.Table, last: bool) -> tuple[list[tuple], pa.Table]:
+        keys = np.stack([whole[c].to_numpy().astype(np.int64) for c in ("band", "key", "i", "j")])
+        at = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [whole.num_rows]])
+        sids, block = whole["sid"].to_numpy(), whole["block"].to_numpy()
+        sigs = whole["sig"].combine_chunks().flatten().to_numpy().reshape(whole.num_rows, -1)
+        ends = at if last else at[:-1]
+        return [(sids[a:b], sigs[a:b], int(keys[0, a]), block[a:b] == keys[2, a] if keys[2, a] != keys[3, a] else None) for a, b in zip(ends[:-1], ends[1:])], whole.slice(int(ends[-1]))
+
+    def said(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, xs, ys, base = [], [], [], 0
+        for sids, sigs, band, left in found:
+            x, y = links(sigs, band, left)
+            if len(x):
+                ids.append(sids)
+                xs.append(x + base)
+                ys.append(y + base)
+                base += len(sids)
+        if ids:
+            yield links_of(np.concatenate(ids), np.concatenate(xs), np.concatenate(ys))
+
     for batch in batches:
-        edges = []
-        at = batch.column(0).offsets.to_numpy()
-        members = batch.column(0).values
-        ids, sigs = members.field(0).to_numpy(), members.field(1)
-        width = 2 * PERMUTATIONS // BAND
-        values = sigs.values.to_numpy()[sigs.offset * width :][: len(ids) * width].view(np.uint16).reshape(len(ids), -1) if len(ids) else None
-        for i, j in zip(at[:-1], at[1:]):
-            edges += links(ids[i:j], values[i:j])
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+        now = pa.Table.from_batches([batch])
+        found, rest = runs(now if rest is None or not rest.num_rows else pa.concat_tables([rest, now]), False)
+        yield from said(found)
+    if rest is not None and rest.num_rows:
+        yield from said(runs(rest, True)[0])
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(rid, root) of all rows with words: root names the group of near duplicates; rid is the key of (doc_id, text)."""
-    keyed = docs.select(row_key("doc_id", "text").alias("rid"), F.col("text").cast("string").alias("text"))
-    signed = stored(keyed.mapInArrow(_sign, "rid bigint, sig array<bigint>").withColumn("sid", F.xxhash64("sig")), "minmax")
-    distinct = signed.groupBy("sid").agg(F.first("sig").alias("sig"))
-    buckets = distinct.select("sid", F.posexplode("sig").alias("band", "key")).groupBy("band", "key").agg(F.sort_array(F.collect_list("sid")).alias("m")).where(F.size("m") > 1)
-    members = buckets.select("m").distinct().select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("sid"))
-    with_sig = members.join(distinct, "sid").groupBy("bucket").agg(F.collect_list(F.struct("sid", "sig")).alias("m")).select("m")
-    roots = components(with_sig.mapInArrow(_link, "a bigint, b bigint"))
-    return signed.select("rid", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("rid", F.coalesce("root", "sid").alias("root"))
+def _linked(nodes: DataFrame) -> DataFrame:
+    """LINKS of nodes(sid, sig)."""
+    bands = nodes.select("sid", F.posexplode("sig").alias("band", "key"))
+    buckets = bands.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("sid").alias("low"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("sum")).where("m > 1")
+    first = buckets.groupBy("m", "low", "x", "sum").agg(F.min(F.struct("band", "key")).alias("b")).select("b.*", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))  # of buckets with the same members, that of the first band sees every pair that is new
+    members = bands.join(first, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    tasks = members.join(nodes, "sid").select("band", "key", "sid", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = tasks.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "sig")
+    return tasks.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInArrow(_compare, LINKS)
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    return placed(docs.select(row_key("doc_id", "text").alias("rid"), "doc_id"), groups(docs), "doc_id")
+def grouped(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, k, l, class_id, class_size, copies, links, keep) of all rows."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("k"), row_key("doc_id", "text", salt=7).alias("l"), F.col("text").cast("string").alias("text"))
+    rows = stored(keyed.mapInArrow(_sign, f"doc_id {kind}, k bigint, l bigint, sig array<bigint>").withColumn("row", F.monotonically_increasing_id()), "minmax")
+    nodes = stored(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("copies")).withColumn("sid", F.monotonically_increasing_id()), "minmax-nodes")
+    return classes(rows, nodes, stored(_linked(nodes.select("sid", "sig")), "minmax-links"), "sig", "doc_id")
 
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, kept_doc_id, group_size): a row for each document that goes, with the one of its group that stays."""
-    return pairs_of(stored(_placed(docs), "minmax-groups"), "doc_id")
+def classed(docs: DataFrame) -> DataFrame:
+    """A row for each document: its class, and whether it stays."""
+    return grouped(docs).drop("row", "k", "l")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, all columns kept."""
-    return kept_rows(docs, stored(_placed(docs), "minmax-groups"), "doc_id", "text")
+    """``docs`` with one row of each class, all columns kept."""
+    return kept_rows(docs, grouped(docs), "doc_id", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(table(spark, sf_dir, "documents"))
+    return classed(table(spark, sf_dir, "documents"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltline.llm import bpe, chat, lines, lm, minhash, packing, quality, registry, sitetree, topk, vectors, words
-from siltline.llm.common import components
+from siltline.llm.common import components, spanning
 
 from ..compare import assert_same
 
@@ -395,18 +395,34 @@ def test_vector_dedup_equals_brute_force(spark, monkeypatch):
     while (new := np.array([label[n].min() for n in near])).tolist() != label.tolist():
         label = new
     want = {(i, int(r)) for i, r in enumerate(label) if i != r}
-    got = {(r.vec_id, r.kept_vec_id) for r in vectors.pairs(df).collect()}
-    assert len(got & want) >= 0.9 * len(want) and got <= want | {(i, j) for i, j in got if near[i, j]}
+    rows = vectors.classed(df).collect()
+    got = {(r.vec_id, r.class_id) for r in rows if not r.keep}
+    assert len(rows) == len(x) and len(got & want) >= 0.9 * len(want) and got <= want | {(i, j) for i, j in got if near[i, j]}
+    different = near[:, :-5]  # the last five are copies of the first
+    full = {i: int(n) - 1 for i, n in enumerate(different.sum(1))}
+    assert all(r.links <= full[r.vec_id] and r.copies == 1 + (r.vec_id < 5 or r.vec_id >= 420) for r in rows) and sum(r.links for r in rows) >= 0.9 * sum(full.values())
     monkeypatch.setattr(vectors, "BLOCK", 16)
-    assert {(r.vec_id, r.kept_vec_id) for r in vectors.pairs(df).collect()} == got
+    assert sorted(vectors.classed(df).collect()) == sorted(rows)
+
+
+def test_vector_pairs_of_several_cells_count_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MARGIN", 3.0)  # all vectors are guests everywhere, so every pair is seen
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= vectors.THRESHOLD).sum(1) - 1
+    for block in (2048, 7):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        assert [r.links for r in vectors.classed(df).orderBy("vec_id").collect()] == want.tolist()
 
 
 def test_vector_dedup_odd(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (None, [3.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, [0.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id bigint, embedding array<double>, size int, __rid int")
-    assert sorted((str(r.vec_id), r.kept_vec_id) for r in vectors.pairs(df).collect()) == [("5", 5), ("6", 5), ("None", 5)]
+    assert sorted((str(r.vec_id), r.class_id) for r in vectors.classed(df).collect() if not r.keep) == [("5", 5), ("6", 5), ("None", 5)] and vectors.classed(df).count() == 10
     assert sorted(str(r.vec_id) for r in vectors.dedup(df).collect()) == ["1", "2", "3", "4", "5", "7", "8"] and vectors.dedup(df).columns == df.columns
-    assert vectors.pairs(df.limit(0)).count() == 0
+    assert vectors.classed(df.limit(0)).count() == 0 and vectors.dedup(df.limit(0)).count() == 0
 
 
 # pages
@@ -466,12 +482,33 @@ def test_minhash_equals_brute_force(spark):
             a, b = label[i], label[j]
             label = [min(a, b) if x in (a, b) else x for x in label]
     want = {(i, r) for i, r in enumerate(label) if i != r}
-    got = {(r.doc_id, r.kept_doc_id) for r in minhash.pairs(docs).collect()}
+    rows = minhash.classed(docs).collect()
+    got = {(r.doc_id, r.class_id) for r in rows if not r.keep}
+    assert len(rows) == len(texts) and all(r.keep == (r.class_id == r.doc_id) for r in rows)
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
     kept = minhash.dedup(docs)
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in got} and kept.columns == docs.columns
 
 
+def test_minhash_links_are_counted_once(spark, monkeypatch):
+    rng, base = random.Random(9), []
+    for _ in range(4):
+        words_ = [rng.choice(VOCABULARY) for _ in range(120)]
+        for k in range(25):  # texts of a chain: each like the next ones, the first unlike the last
+            words_[(k * 5) % 120 : (k * 5) % 120 + 4] = [rng.choice(VOCABULARY) for _ in range(4)]
+            base.append(" ".join(words_))
+    docs = documents(spark, list(enumerate(base + base[:7])))
+    hashed = [minhash.shingles(*words.word_hashes(*words.buffers(pa.array([t])))) for t in base]
+    sigs = np.concatenate([minhash.signatures(h, np.array([0])) for h, _ in hashed])
+    bands = sigs.view(np.int64)
+    near = [[j for j in range(100) if j != i and (sigs[i] == sigs[j]).sum() >= 64 and (bands[i] == bands[j]).any()] for i in range(100)]
+    for block in (2048, 3):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        rows = {r.doc_id: r for r in minhash.classed(docs).collect()}
+        assert all(rows[i].links == len(near[i]) and rows[i].copies == 1 + (i < 7) for i in range(100)) and rows[100].links == rows[0].links
+        assert max(len(n) for n in near) > 6
+
+
 def test_min_max_estimate():
     rng = np.random.default_rng(4)
     both, a, b = (rng.integers(0, 1 << 32, n).astype(np.uint32) for n in (600, 200, 200))
@@ -479,18 +516,22 @@ def test_min_max_estimate():
     assert abs((s[0] == s[1]).mean() - 0.6) < 0.15
 
 
-def test_bucket_components_are_exact():
+def test_spanning():
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 16, (6, 128)).astype(np.uint16)
-    values = np.concatenate([np.where(rng.random((9, 128)) < 0.1, rng.integers(0, 1 << 16, (9, 128)), b).astype(np.uint16) for b in base])
-    edges = minhash.links(np.arange(len(values)), values)
-    assert len(edges) == 6 * 8 and all(a // 9 == b // 9 for a, b in edges)
+    x, y = rng.integers(0, 200, 120), rng.integers(0, 200, 120)
+    label = spanning(200, x, y)
+    want = np.arange(200)
+    for _ in range(200):
+        for i, j in zip(x, y):
+            want[want == max(want[i], want[j])] = min(want[i], want[j])
+    assert label.tolist() == want.tolist()
 
 
 def test_minhash_odd(spark):
-    pairs = sorted((str(r.doc_id), str(r.kept_doc_id)) for r in minhash.pairs(odd(spark)).collect())
-    assert pairs == [("4", "4"), ("None", "None")]
-    assert minhash.dedup(odd(spark)).count() == 11 and minhash.dedup(empty(spark)).count() == 0 and minhash.pairs(empty(spark)).count() == 0
+    rows = minhash.classed(odd(spark)).collect()
+    assert len(rows) == 13 and sorted((str(r.doc_id), str(r.class_id)) for r in rows if not r.keep) == [("4", "4"), ("None", "None")]
+    assert minhash.dedup(odd(spark)).count() == 11 and minhash.dedup(odd(spark)).columns == odd(spark).columns
+    assert minhash.dedup(empty(spark)).count() == 0 and minhash.classed(empty(spark)).count() == 0
 
 
 # the pipeline
