@@ -136,8 +136,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(nodes: DataFrame) -> DataFrame:
     """LINKS of nodes(sid, sig)."""
     bands = nodes.select("sid", F.posexplode("sig").alias("band", "key"))
-    buckets = bands.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("sid").alias("low"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("sum")).where("m > 1")
-    first = buckets.groupBy("m", "low", "x", "sum").agg(F.min(F.struct("band", "key")).alias("b")).select("b.*", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))  # of buckets with the same members, that of the first band sees every pair that is new
+    buckets = bands.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("sid").alias("low"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 1")
+    first = buckets.groupBy("m", "low", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.*", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))  # of buckets with the same members, that of the first band sees every pair that is new
     members = bands.join(first, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     tasks = members.join(nodes, "sid").select("band", "key", "sid", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "sig")
