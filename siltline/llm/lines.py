@@ -7,12 +7,14 @@ compared as text, and the first of each chosen.
 How: the JVM hashes the lines of each document (8 bytes a line go to a scratch table). Each task turns its hashes into positions of both filters, cut into
 segments; segments are merged by position, twice |= once & other once | other twice, which can only suspect too much. The positions that are set
 in the second filter are folded into a small filter which all tasks get. It grows with the number of repeated lines, so its size is
-checked: beyond ``MAX_FILTER`` positions the hashes themselves are counted by a shuffle, with the same result. Suspects are grouped by hash with the least and greatest text,
-so that unequal lines with one hash are noticed (and then told apart by their text). Hot lines are combined before the shuffle. The documents are shuffled once, to take the line numbers that go.
+checked: beyond ``MAX_FILTER`` positions it stays in segments, and lines are looked up there by a semi-join of (row key, line number, position), with the same result.
+Suspects are grouped by hash with the least and greatest text, so that unequal lines with one hash are noticed (and then told apart by their text). Hot lines are combined before the shuffle.
+The documents that lose a line are shuffled once, to take the numbers of the lines that go; a Bloom filter of their keys lets the others stay where they are (nearly all of them, up to some
+hundred million documents that lose a line; beyond, the filter, whose size is bounded, lets more and more of them through).
 
-Defined cases: a null text stays null, an empty one empty; blank lines (only spaces) stay and repeat freely; the parts of a text are what "\\n" separates; rows that
+Defined cases: a null text stays null, an empty one empty; blank lines (of spaces, tabs and "\r" only) stay and repeat freely; the parts of a text are what "\n" separates; rows that
 agree in doc_id and text count as one document and get the same result; a null doc_id comes last; further columns are
-carried, whatever their names; an empty table gives an empty result. A document may lose all its lines: ``dedup`` gives it an empty text, ``dedup(drop_emptied=True)`` leaves it out.
+carried, whatever their names (one named like ``removed`` is replaced); an empty table gives an empty result. A document may lose all its lines: ``dedup`` gives it an empty text, ``dedup(drop_emptied=True)`` leaves it out.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, row_key, stored, table
+from .common import MAX_BITS, SEGMENT, bitmap, fresh, row_key, split_by_keys, stored, table
 from .words import mix
 
 BITS_PER_LINE = 16
-SEGMENT = 20  # bits of a position within a segment
-MAX_FILTER = 1 << 26  # positions set in the second filter, for one that is sent to all tasks: 64 MB at most
+MAX_FILTER = 1 << (MAX_BITS - 3)  # positions set in the second filter, for one that is sent to all tasks: 64 MB at most
+BLANK = " \t\r"
 
 
 def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -69,14 +71,6 @@ def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(at + (key[0].as_py() << SEGMENT), pa.int64())], ["at"])
 
 
-def _bits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The positions of one segment of the folded filter as a bitmap."""
-    bits = np.zeros(1 << SEGMENT, bool)
-    for batch in batches:
-        bits[np.asarray(batch.column("p")) & ((1 << SEGMENT) - 1)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
-
-
 def _suspect(folded: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     small = np.uint64(len(folded) * 8 - 1)
     found = np.ones(len(hashes), bool)
@@ -88,27 +82,22 @@ def _suspect(folded: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
 
 def _hashes(text: F.Column) -> F.Column:
     """The hash of each line, null for a blank one."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.when(F.trim(x) != "", F.xxhash64(x)))
+    return F.transform(F.split(text, "\n", -1), lambda x: F.when(F.trim(x, F.lit(BLANK)) != "", F.xxhash64(x)))
 
 
 def _suspects(docs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """``docs(rid, o, text)`` with ``sus``, the numbers of the lines that may be repeats."""
+    """``docs(k, l, o, text)`` with ``sus``, the numbers of the lines that may be repeats."""
     spark = docs.sparkSession
     total = hashed.agg(F.sum(F.size("hashes"))).first()[0] or 0
     bits = max(SEGMENT, int(total * BITS_PER_LINE - 1).bit_length())
     twice = stored(hashed.select("hashes").mapInArrow(_segments(bits), "segment bigint, once binary, twice binary").groupBy("segment").applyInArrow(_merge, "at bigint"), "bloom")
     size = twice.count()
     if size > MAX_FILTER:
-        places = hashed.select("rid", F.posexplode("hashes").alias("line_no", "h")).where("h IS NOT NULL")
-        again = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-        found = places.join(again, "h", "left_semi").groupBy("rid").agg(F.collect_set("line_no").alias("sus"))
-        return docs.join(found.hint("shuffle_hash"), "rid")
+        places = hashed.select("k", "l", F.posexplode("hashes").alias("line_no", "h")).where("h IS NOT NULL").withColumn("at", F.col("h").bitwiseAND((1 << bits) - 1))
+        found = stored(places.join(twice, "at", "left_semi").groupBy("k", "l").agg(F.collect_set("line_no").alias("sus")), "line-places")  # a row is as long as its document
+        return split_by_keys(docs, "k", found.select("k"))[0].join(found.hint("shuffle_hash"), ["k", "l"])
     small = max(SEGMENT, min(bits, int(size * 8 - 1).bit_length()))
-    at = twice.select(F.col("at").bitwiseAND((1 << small) - 1).alias("p"))
-    made = at.groupBy(F.shiftright("p", SEGMENT).alias("segment")).applyInArrow(_bits, "segment bigint, bits binary").toArrow()
-    folded = np.zeros(1 << (small - 3), np.uint8)
-    for segment, part in zip(made["segment"].to_pylist(), made["bits"].to_pylist()):
-        folded[segment << (SEGMENT - 3) : (segment + 1) << (SEGMENT - 3)] = np.frombuffer(part, np.uint8)
+    folded = bitmap(twice.select(F.col("at").bitwiseAND((1 << small) - 1).alias("p")), small)
     shared = spark.sparkContext.broadcast(folded)  # its size was checked above
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -124,32 +113,36 @@ def _suspects(docs: DataFrame, hashed: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(rid, gone): the numbers, from 0, of the lines that go, for each document that loses one."""
-    keyed = docs.select(row_key("doc_id", "text").alias("rid"), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id").alias("o"), F.col("text").cast("string").alias("text"))
-    hashed = stored(keyed.select("rid", _hashes(F.col("text")).alias("hashes")).where("hashes IS NOT NULL"), "line-hashes")
-    lines = _suspects(keyed, hashed).where(F.size("sus") > 0).select("rid", "o", F.split("text", "\n", -1).alias("parts"), F.explode("sus").alias("line_no")).select("rid", "o", "line_no", F.col("parts")[F.col("line_no")].alias("line"))
-    suspects = stored(lines.select(F.xxhash64("line").alias("h"), F.struct("o", "rid", "line_no").alias("at"), "line"), "line-suspects")
+    """(k, l, gone): the numbers, from 0, of the lines that go, for each document that loses one."""
+    keyed = docs.select(row_key("doc_id", "text").alias("k"), row_key("doc_id", "text", salt=7).alias("l"), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id").alias("o"), F.col("text").cast("string").alias("text"))
+    hashed = stored(keyed.select("k", "l", _hashes(F.col("text")).alias("hashes")).where("hashes IS NOT NULL"), "line-hashes")
+    lines = _suspects(keyed, hashed).where(F.size("sus") > 0).select("k", "l", "o", F.split("text", "\n", -1).alias("parts"), F.explode("sus").alias("line_no"))
+    lines = lines.select(F.struct("o", "k", "l", "line_no").alias("at"), F.col("parts")[F.col("line_no")].alias("line"))
+    suspects = stored(lines.select(F.xxhash64("line").alias("h"), "at", "line"), "line-suspects")
     firsts = stored(suspects.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last"), (F.min("line") != F.max("line")).alias("mixed")).where("first != last OR mixed"), "line-firsts")
-    gone = suspects.select("h", "at").join(firsts.where("NOT mixed").select("h", "first"), "h").where("at != first").select("at.rid", "at.line_no")
+    gone = suspects.select("h", "at").join(firsts.where("NOT mixed").select("h", "first"), "h").where("at != first").select("at.k", "at.l", "at.line_no")
     mixed = firsts.where("mixed").select("h")
     if mixed.head(1):  # different lines with one hash: told apart by their text
         place = F.row_number().over(Window.partitionBy("h", "line").orderBy("at"))
-        gone = gone.unionByName(suspects.join(mixed, "h", "left_semi").distinct().withColumn("place", place).where("place > 1").select("at.rid", "at.line_no"))
-    return gone.groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
+        gone = gone.unionByName(suspects.join(mixed, "h", "left_semi").distinct().withColumn("place", place).where("place > 1").select("at.k", "at.l", "at.line_no"))
+    return stored(gone.groupBy("k", "l").agg(F.collect_set("line_no").alias("gone")), "lines-that-go")
 
 
 def dedup(docs: DataFrame, drop_emptied: bool = False, removed: str | None = None) -> DataFrame:
     """``docs`` without repeated lines. removed: name of a column for the number of lines that went."""
-    rid, out = fresh(docs, "__rid", "__gone")
+    k, l, out_k, out_l, out = fresh(docs, "__k", "__l", "__out_k", "__out_l", "__gone")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(out)), lambda i: parts[i])
-    joined = docs.withColumn(rid, row_key("doc_id", "text")).join(removals(docs).select(F.col("rid").alias(rid), F.col("gone").alias(out)).hint("shuffle_hash"), rid, "left")
-    made = joined.withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    if removed:
-        made = made.withColumn(removed, F.coalesce(F.size(out), F.lit(0)))
+    going = removals(docs).toDF(out_k, out_l, out)
+    maybe, whole = split_by_keys(docs.withColumn(k, row_key("doc_id", "text")).withColumn(l, row_key("doc_id", "text", salt=7)), k, going)
+    joined = maybe.join(going.hint("shuffle_hash"), (F.col(k) == F.col(out_k)) & (F.col(l) == F.col(out_l)), "left")
+    joined = joined.withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if drop_emptied:
-        made = made.where(F.col(out).isNull() | F.col("text").rlike("[^ \n]"))
-    return made.drop(rid, out).select(*docs.columns, *([removed] if removed else []))
+        joined = joined.where(F.col(out).isNull() | F.col("text").rlike(f"[^{BLANK}\n]"))
+    if removed:
+        joined, whole = joined.withColumn(removed, F.coalesce(F.size(out), F.lit(0))), whole.withColumn(removed, F.lit(0))
+    names = [*(c for c in docs.columns if c != removed), *([removed] if removed else [])]
+    return joined.select(names).unionByName(whole.select(names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +151,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-placed AS (SELECT *, CASE WHEN trim(line) = '' THEN 1 ELSE row_number() OVER (PARTITION BY line ORDER BY doc_id, i) END AS n FROM parts),
+placed AS (SELECT *, CASE WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 1 ELSE row_number() OVER (PARTITION BY line ORDER BY doc_id, i) END AS n FROM parts),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE n = 1) AS text, count(*) FILTER (WHERE n > 1) AS gone FROM placed GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(k.gone, 0) AS INTEGER) AS lines_removed
 FROM documents d LEFT JOIN kept k USING (doc_id)

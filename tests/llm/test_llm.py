@@ -176,6 +176,9 @@ def test_line_dedup_odd(spark):
     # (null, "one two three") twice is one document; 4 "other" comes with another key; 7 repeats "a"
     assert got == sorted([("None", None, 0), ("None", "one two three", 0), ("None", "one two three", 0), ("1", "", 0), ("2", None, 0), ("3", "   \n\n ", 0), ("4", "x", 0), ("4", "x", 0), ("4", "other", 0), ("5", "long word " * 20000, 0), ("6", "é漢字🙂 ñ", 0), ("7", "a\nb\n", 1), ("8", "!!! ???", 0)], key=str)
     assert lines.dedup(odd(spark)).columns == odd(spark).columns
+    crlf = documents(spark, [(1, "a\r\n\r\nb\r\n\t\n\t"), (2, "\r\na\r\n\t\nb")])
+    assert [r.text for r in lines.dedup(crlf).orderBy("doc_id").collect()] == ["a\r\n\r\nb\r\n\t\n\t", "\r\n\t\nb"]
+    assert lines.dedup(crlf, removed="line").columns == [*(c for c in crlf.columns if c != "line"), "line"]
     assert lines.dedup(empty(spark)).count() == 0
 
 
