@@ -9,8 +9,8 @@ Scale: nothing groups all pages of a host. A first map emits a hash for each sty
 by a second map and a shuffle with map-side sums. The recursion over a host's tree sees a row for each shared node, not for each page. Both sets that tasks look up, shared styles and noise branches, grow with
 the number of templates, so their sizes are checked: beyond ``MAX_SET`` the counting takes all styles and the cut gets each page's noise by a join, with the same result.
 
-Defined cases: the host is that of the url, lower-cased (a null url or one without host: the host ""); a null html gives a null text, an empty one or one of plain text that text; unclosed, misnested and unknown tags never fail:
-an end tag without start is ignored, elements end with their parents, p and li end before the next of them; script, style, noscript, template, head, svg and comments have no text; a host with fewer than ``MIN_PAGES`` different pages loses nothing;
+Defined cases: the host is that of the url, lower-cased (a null url or one without host: the host ""); a null html gives a null text, an empty one or one of plain text that text; unclosed, misnested and unknown tags never fail, and take time in proportion to the page:
+an end tag without start is ignored, what looks like a tag without an end is text, elements end with their parents, p and li end before the next of them; script, style, noscript, template, head, svg and comments have no text; a host with fewer than ``MIN_PAGES`` different pages loses nothing;
 repeated rows get equal texts; page_id may be null or repeated; an empty table gives no rows; further columns are ignored, whatever their names.
 
 Result: page_id, host, text (blocks on lines of their own), branches_removed.
@@ -37,7 +37,8 @@ THRESHOLD = 0.5
 MIN_PAGES = 5  # what fewer pages have isn't judged, and important
 MAX_SET = 4_000_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
+_STOP = re.compile("[>\"']")
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SRC = re.compile(r"""\bsrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,9 +56,13 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The DOM of a page, with content in leaves of tag "#text" and "img"."""
+    """The DOM of a page, with content in leaves of tag "#text" and "img". Takes time in proportion to the page, whatever it holds."""
     root = Node("#root", "#root")
-    stack, at, end = [root], 0, len(page)
+    stack, at, end, begin = [root], 0, len(page), 0
+    place: dict[str, list[int]] = {}  # where in the stack elements of a tag are
+    scopes = [0]
+    quotes = {q: page.rfind(q) for q in "\"'"}
+    heed = True
 
     def text(a: int, b: int) -> None:
         words = page[a:b].split()
@@ -65,43 +70,73 @@ def parse(page: str) -> Node:
             content = entities.unescape(" ".join(words))
             stack[-1].children.append(Node("#text", "#text", content))
 
+    def close(k: int) -> None:
+        while len(stack) > k:
+            node = stack.pop()
+            place[node.tag].pop()
+            if node.tag in _SCOPE:
+                scopes.pop()
+
+    def tag_end(i: int) -> int:
+        """The place of the ">" that ends a tag, outside quotes; -1 if there is none. Once quotes leave a tag without an end, they aren't heeded for the rest of the page."""
+        nonlocal heed
+        j = i
+        while heed:
+            m = _STOP.search(page, j)
+            if m is None:
+                heed = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                j = page.index(m[0], m.end()) + 1 if m.start() < quotes[m[0]] else m.end()
+        return page.find(">", i)
+
     while at < end:
-        m = _TAG.search(page, at)
+        i = page.find("<", at)
+        if i < 0:
+            break
+        if page.startswith("<!--", i):
+            stop = page.find("-->", i + 4)
+            text(begin, i)
+            begin = at = end if stop < 0 else stop + 3
+            continue
+        m = _NAME.match(page, i + 1)
         if m is None:
-            text(at, end)
+            at = i + 1
+            if page[at : at + 1] not in ("!", "?"):
+                continue
+        stop = page.find(">", at) if m is None else tag_end(m.end())
+        if stop < 0:  # no tag ends from here on
             break
-        if m.start() > at:
-            text(at, m.start())
-        at = m.end()
-        if m[2] is None:
+        text(begin, i)
+        begin = at = stop + 1
+        if m is None:
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), page[m.end() : stop]
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if place.get(tag):
+                close(place[tag][-1])
             continue
         if tag in _RAW:
-            close = None if m[3].endswith("/") else _RAW_END[tag].search(page, at)
-            at = at if m[3].endswith("/") else close.end() if close else end
+            done = None if attributes.endswith("/") else _RAW_END[tag].search(page, at)
+            begin = at = at if attributes.endswith("/") else done.end() if done else end
             continue
         if tag == "p" or tag == "li" or tag in _SCOPE:
-            ends = "li" if tag == "li" else "p"
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == ends:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE:
-                    break
-        c = _CLASS.search(m[3]) if "lass" in m[3] or "LASS" in m[3] else None
+            ends = place.get("li" if tag == "li" else "p")
+            if ends and ends[-1] > scopes[-1]:
+                close(ends[-1])
+        c = _CLASS.search(attributes) if "lass" in attributes or "LASS" in attributes else None
         node = Node(tag, f"{tag}.{c[1] or c[2] or c[3] or ''}" if c else tag)
         if tag == "img":
-            s = _SRC.search(m[3])
+            s = _SRC.search(attributes)
             node.content = (s[1] or s[2] or s[3] or "") if s else ""
         stack[-1].children.append(node)
-        if tag not in _VOID and not m[3].endswith("/"):
+        if tag not in _VOID and not attributes.endswith("/"):
+            place.setdefault(tag, []).append(len(stack))
+            if tag in _SCOPE:
+                scopes.append(len(stack))
             stack.append(node)
+    text(begin, end)
     return root
 
 

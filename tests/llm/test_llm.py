@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -443,6 +445,86 @@ def test_site_noise_goes_and_stories_stay(spark):
     assert sorted(map(str, sitetree.extracted(pages, 0).collect())) == sorted(map(str, rows.values()))
 
 
+def naive_texts(pages):
+    """The texts of a host's different pages, by a style tree of whole DOMs and entropies as they are defined."""
+    roots = [sitetree.parse(h) for h in pages]
+
+    def look(nodes):
+        """(importance, the greatest in the branch, what to look at below) of the nodes at one place of the pages."""
+        m, leaves, variants = len(nodes), [n for n in nodes if not n.children], {}
+        for n in nodes:
+            if n.children:
+                variants.setdefault(tuple(c.sign for c in n.children), []).append(n)
+        below = [[look(c) + (c,) for c in zip(*(n.children for n in own))] for own in variants.values()]
+        if m < sitetree.MIN_PAGES:
+            return 1.0, 1.0, below
+        shares = [len(v) / m for v in variants.values()] + ([len(leaves) / m] if leaves else [])
+        entropy = -sum(s * math.log(s, m) for s in shares)
+        inner, most = 0.0, 0.0
+        for own, children in zip(variants.values(), below):
+            known = len(own) > 1
+            inner += len(own) / m * (sum(c[0] for c in children) / len(children) if known else 1.0)
+            most = max([most, *(c[1] for c in children)]) if known else 1.0
+        if leaves:
+            seen = [sum(n.tag == x.tag and n.content == x.content for n in leaves) for x in leaves]
+            inner += len(leaves) / m * (1 - sum(math.log(x, len(leaves)) for x in seen) / len(leaves) if len(leaves) > 1 else 1.0)
+        weight = 0.9 ** len(shares)
+        value = (1 - weight) * entropy + weight * inner if variants else inner
+        return value, max(most, value), below
+
+    cut = set()
+
+    def mark(looked, nodes):
+        if looked[1] < sitetree.THRESHOLD:
+            cut.update(id(n) for n in nodes)
+            return
+        for children in looked[2]:
+            for c in children:
+                mark(c[:3], c[3])
+
+    mark(look(roots), roots)
+
+    def text(node):
+        if id(node) in cut:
+            return ""
+        own = node.content if node.tag == "#text" else "".join(map(text, node.children))
+        return f" {own} " if node.tag == "#text" else own if node.tag in sitetree._INLINE else f"\n{own}\n"
+
+    return ["\n".join(" ".join(x.split()) for x in text(r).split("\n") if x.strip()) for r in roots]
+
+
+def test_site_tree_equals_naive(spark):
+    rng = random.Random(12)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["Home", "About", f"News {rng.randrange(40)}", f"Item {rng.randrange(4)}"])
+        tag, name = rng.choice(["div", "ul", "b", "section"]), rng.choice(["", " class=x", " class='y z'"])
+        return f"<{tag}{name}>" + "".join(some(depth - 1) for _ in range(rng.randint(1, 3))) + f"</{tag}>"
+
+    parts = [some(3) for _ in range(6)]
+    pages = sorted({"<body>" + "".join(rng.choice(parts[:2]) if rng.random() < 0.7 else some(2) if rng.random() < 0.5 else rng.choice(parts) for _ in range(rng.randint(2, 4))) + f"<p>Story {rng.randrange(25)}</p><footer>All rights</footer></body>" for _ in range(60)})
+    df = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id int, url string, html string")
+    want = naive_texts(pages)
+    for most in (sitetree.MAX_SET, 0):
+        assert [r.text for r in sitetree.extracted(df, most).orderBy("page_id").collect()] == want
+    assert any(len(w) < len(" ".join(sitetree.extract(sitetree.parse(p), 0, None)[0].split())) for w, p in zip(want, pages))
+
+
+@pytest.mark.parametrize("page", ["<a " * 340000, "<a \"" * 250001, "<a " * 340000 + "\">\"", "<b>" * 200000 + "</i>" * 200000, "<ul><li><ul>" + "<b>" * 150000 + "<li></li>" * 60000, "<a '\">" * 150000, "<" * 1000000, "<!" * 500000, "<p class=" * 100000 + ">"])
+def test_broken_markup_takes_little_time(page):
+    began = time.process_time()
+    sitetree.extract(sitetree.parse(page), 0, None)
+    assert time.process_time() - began < 5
+
+
+def test_markup_without_ends():
+    text = lambda page: sitetree.extract(sitetree.parse(page), 0, None)[0]
+    assert text("1 < 2 <b>x</b> <a href='>'>y</a> <c") == "1 < 2 x y <c"
+    assert text("a <i title=\"it's\">b</i> <u x='>c</u> d") == "a b c d"
+    assert text("a<script>if (a<b) x()</SCRIPT >b<style>c") == "a b" and text("<!doctype html><?x y?>t<!-- a > b -->u<!-- v") == "t u"
+
+
 @pytest.mark.parametrize("ids", [[7] * 6, [None] * 6, [7, 7, 8, None, None, 9]])
 def test_repeated_pages_count_as_one(spark, ids):
     html = "<html><body><h1>Only page</h1><p>Its text</p></body></html>"
