@@ -2,15 +2,15 @@
 
 A bin is filled greedily: the longest unpacked piece that fits goes in, until none fits. Then its smallest piece may be replaced: of all pairs of unpacked pieces that fit the
 gap it would leave, the pair with the greatest sum goes in if it fills the bin more tightly than the piece did. A bin of one piece isn't changed. A document longer than a bin is cut
-into pieces of a bin's length, which are bins by themselves, and a rest. Lengths are counted in characters (``CAPACITY`` = 8192, about 2048 tokens of 4).
+into pieces of a bin's length, which are bins by themselves, and a rest. Each piece is followed by ``END``, for which it needs room. Lengths are counted in characters (``CAPACITY`` = 8192, about 2048 tokens of 4).
 
-Scale: documents go to shards by the hash of their id, one shuffle; a shard (about ``SHARD`` bytes of text, so that their number grows with the corpus) is packed by one task and
-its bins come out with their text. Only the last bins of a shard are loose, some ten of thousands.
+Scale: documents go to shards by the hash of their id, text and input partition, one shuffle; a shard (about ``SHARD`` bytes of text, so that their number grows with the corpus) is packed by one task and
+its bins come out with their text. Only the last bins of a shard are loose, some ten of thousands. Rows without an id, with one id or equal in all spread like others, at most those of one input partition to a shard.
 
 Defined cases: a null or empty text isn't packed; a null doc_id is packed as one, under a null; repeated rows are packed each; ties between pieces of equal length go by doc_id (nulls last), text and
-place in the text; an empty table gives no bins; further columns are ignored, whatever their names.
+place in the text; an empty table gives no bins; further columns are ignored, whatever their names. Which bin a document is in depends on how the table is split.
 
-Result: bin_id, doc_ids, starts and lengths (of the pieces, as characters of their documents), used, text (the pieces one after the other).
+Result: bin_id, doc_ids (of the type of doc_id), starts and lengths (of the pieces, as characters of their documents), used (lengths and ends), text (the pieces one after the other, each with its end).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import table
 
 CAPACITY = 8192
 SHARD = 12 << 20
-RESULT = "bin_id bigint, doc_ids array<bigint>, starts array<int>, lengths array<int>, used int, text string"
+END = "\n"
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -83,23 +83,25 @@ def best_pair(count: np.ndarray, room: int) -> tuple[int, int] | None:
 
 
 def _shard(capacity: int):
+    longest = capacity - len(END)
+
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(list(batches))
         ids, texts = whole["doc_id"].to_pylist(), whole["text"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        parts = [(i, at, min(capacity, len(texts[i]) - at)) for i in order for at in range(0, len(texts[i]), capacity)]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, "" if ids[i] is None else ids[i], texts[i]))
+        parts = [(i, at, min(longest, len(texts[i]) - at)) for i in order for at in range(0, len(texts[i]), longest)]
         made = 0
-        bins = pack([p[2] for p in parts], capacity)
+        bins = pack([p[2] + len(END) for p in parts], capacity)
         for first in range(0, len(bins), 256):
             rows = [[parts[i] for i in b] for b in bins[first : first + 256]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([(key[0].as_py() << 32) + made + k for k in range(len(rows))], pa.int64()),
-                    pa.array([[ids[i] for i, _, _ in r] for r in rows], pa.list_(pa.int64())),
+                    pa.array([[ids[i] for i, _, _ in r] for r in rows], pa.list_(whole.schema.field("doc_id").type)),
                     pa.array([[at for _, at, _ in r] for r in rows], pa.list_(pa.int32())),
                     pa.array([[n for _, _, n in r] for r in rows], pa.list_(pa.int32())),
-                    pa.array([sum(n for _, _, n in r) for r in rows], pa.int32()),
-                    pa.array(["".join(texts[i][at : at + n] for i, at, n in r) for r in rows], pa.string()),
+                    pa.array([sum(n + len(END) for _, _, n in r) for r in rows], pa.int32()),
+                    pa.array(["".join(texts[i][at : at + n] + END for i, at, n in r) for r in rows], pa.string()),
                 ],
                 ["bin_id", "doc_ids", "starts", "lengths", "used", "text"],
             )
@@ -110,10 +112,12 @@ def _shard(capacity: int):
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, shard_bytes: int = SHARD) -> DataFrame:
     """The bins of all documents."""
-    some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text != ''")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text != ''")
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    return some.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(capacity), RESULT)
+    placed = some.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)))
+    return placed.groupBy("shard").applyInArrow(_shard(capacity), f"bin_id bigint, doc_ids array<{kind}>, starts array<int>, lengths array<int>, used int, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
