@@ -1,12 +1,13 @@
 """Operator 2: BPE encoding and decoding with reuse of content-defined chunks.
 
-A rolling hash over 16 bytes cuts each text into chunks of about 512 bytes whose borders depend on the bytes around them alone, so
+A rolling hash over 16 bytes cuts each text into chunks of about 2048 bytes whose borders depend on the bytes around them alone, so
 passages that documents share make equal chunks. A worker process encodes each different chunk once and keeps the result, across documents, batches and tasks, in a cache of bounded size
 (which changes the time and never the result). Chunk joins are then repaired: the text between the last point of the left chunk and the first point of the right one at which any
-tokenization must break (a blank between two ASCII letters, where the pre-tokenizer always starts a new piece) is encoded again. Where a chunk has no such point, the repair grows over it
+tokenization must break is encoded again. Such points are single blanks between two other characters and the comma or full stop after an ideograph, where the pre-tokenizer always starts a new piece (a
+vocabulary whose pre-tokenizer doesn't is noticed, and its texts are encoded whole). Where a chunk has no such point, the repair grows over it
 until both sides agree, over the whole text if need be. The ids are exactly those of encoding the whole text.
 
-Scale: one map over the documents; nothing is shuffled and nothing collected. ``tokenizer`` names a file of ranks (base64 and rank on each line); it is opened by each worker, never copied.
+Scale: one map over the documents; nothing is shuffled and nothing collected. ``tokenizer`` names a file of ranks (base64 and rank on each line) and ``pattern`` its pre-tokenizer; the file is opened by each worker, never copied.
 
 Defined cases: a null text gives null ids; an empty one none; repeated rows give equal rows; doc_id may be null or repeated; text
 of special tokens is ordinary text; an empty table gives no rows; further columns are ignored, whatever their names.
@@ -29,12 +30,13 @@ from .words import PIECE, _powers, buffers, mix, pieces
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW = 16
-CHUNK_BITS = 9
+CHUNK_BITS = 11
 CACHE_BYTES = 48 << 20
 
-_OPEN: dict[str, Codec] = {}
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_OPEN: dict[tuple[str, str], Codec] = {}
+_SOLID = np.zeros(256, bool)  # bytes that surely aren't of white space: ASCII signs, and the first bytes of characters of blocks without any
+_SOLID[[*range(33, 127), *range(0xC3, 0xE1), *range(0xE4, 0xF0)]] = True
+_BREAKS = ("a b", "1 2", "! ?", "a 1", "é x", "字 ，", "字，字", "字。1", "x' s", "ñ 'll", "字、 字")  # before the blank, or else after the first character
 
 
 def cuts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -53,15 +55,29 @@ def cuts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([at, offsets]))
 
 
+def points(body: np.ndarray) -> np.ndarray:
+    """Where any tokenization must break: before a single blank between two other characters, and before a comma or full stop after an ideograph."""
+    if len(body) < 3:
+        return np.zeros(0, np.int64)
+    blank = np.flatnonzero((body[1:-1] == 32) & _SOLID[body[2:]]) + 1
+    lead = blank - 1  # the first byte of the character before
+    for _ in range(3):
+        lead = lead - ((body[lead] & 0xC0) == 0x80) * (lead > 0)
+    blank = blank[_SOLID[body[lead]]]
+    wide = np.flatnonzero((body[3:-2] == 0xE3) & (body[4:-1] == 0x80) & ((body[5:] == 0x81) | (body[5:] == 0x82)) | (body[3:-2] == 0xEF) & (body[4:-1] == 0xBC) & (body[5:] == 0x8C)) + 3 if len(body) > 5 else np.zeros(0, np.int64)
+    wide = wide[(body[wide - 3] >= 0xE5) & (body[wide - 3] <= 0xE8)]
+    return np.sort(np.concatenate([blank, wide]))
+
+
 class Codec:
     """Ranks of one file, with the cache of chunks."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pattern: str = PATTERN) -> None:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         size = max(ranks.values()) + 1
         self.lengths = np.zeros(size, np.int64)
         for token, rank in ranks.items():
@@ -71,16 +87,19 @@ class Codec:
         for token, rank in ranks.items():
             flat[self.begins[rank] : self.begins[rank + 1]] = token
         self.flat = np.frombuffer(bytes(flat), np.uint8)
+        whole = self.encoding.encode_ordinary
+        places = [(x, x.find(" ") if " " in x else 1) for x in _BREAKS]
+        self.breaks = all(whole(f"w{x}w") == whole(f"w{x[:i]}") + whole(f"{x[i:]}w") for x, i in places)
         self.young: dict[bytes, np.ndarray] = {}
         self.old: dict[bytes, np.ndarray] = {}
         self.held = 0
         self.encoded = 0  # chunks and repairs that were encoded, for tests
 
     @staticmethod
-    def of(path: str) -> Codec:
-        if path not in _OPEN:
-            _OPEN[path] = Codec(path)
-        return _OPEN[path]
+    def of(path: str, pattern: str = PATTERN) -> Codec:
+        if (path, pattern) not in _OPEN:
+            _OPEN[path, pattern] = Codec(path, pattern)
+        return _OPEN[path, pattern]
 
     def ids(self, chunk: bytes) -> np.ndarray:
         found = self.young.get(chunk)
@@ -88,7 +107,7 @@ class Codec:
             found = self.old.get(chunk)
             if found is None:
                 self.encoded += 1
-                found = np.array(self.encoding.encode_ordinary(chunk.decode()), np.int32)
+                found = self.encoding.encode_to_numpy(chunk.decode(), disallowed_special=()).astype(np.int32)
             self.young[chunk] = found
             self.held += len(chunk) + found.nbytes + 200
             if self.held > CACHE_BYTES:
@@ -97,9 +116,9 @@ class Codec:
 
     def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, for each text the index of its first)."""
-        borders = cuts(body, offsets)
-        point = np.flatnonzero(_LETTER[body[:-2]] & (body[1:-1] == 32) & _LETTER[body[2:]]) + 1 if len(body) > 2 else np.zeros(0, np.int64)
-        low, high = np.searchsorted(point, borders[:-1] + 1), np.searchsorted(point, borders[1:] - 2, "right")
+        borders = cuts(body, offsets) if self.breaks else np.unique(offsets)
+        point = points(body)
+        low, high = np.searchsorted(point, borders[:-1] + 4), np.searchsorted(point, borders[1:] - 4, "right")  # of which all bytes are in the chunk
         last_chunk = np.searchsorted(borders, offsets)
         raw, out, ends, made = body.tobytes(), [], [0], 0
         for k in range(len(offsets) - 1):
@@ -110,7 +129,7 @@ class Codec:
                 if b == a + 1:
                     parts.append(self.ids(raw[start:end]))
                     break
-                if low[c] == high[c] and (c < b - 1 or pending < start):
+                if low[c] >= high[c] and (c < b - 1 or pending < start):
                     if c == b - 1:
                         parts.append(self.ids(raw[pending:end]))
                     continue
@@ -137,9 +156,9 @@ class Codec:
         return self.flat[np.repeat(self.begins[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _encode(path: str):
+def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path)
+        codec = Codec.of(path, pattern)
         for batch in batches:
             null = np.asarray(batch.column(1).is_null())
             for i, j, body, offsets in pieces(*buffers(batch.column(1)), PIECE):
@@ -158,10 +177,10 @@ def _encode(path: str):
     return run
 
 
-def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, token_ids, n_tokens, round_trip): the ids of each text, and whether decoding them gives its bytes back."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_encode(tokenizer), f"doc_id {kind}, token_ids array<int>, n_tokens int, round_trip boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_encode(tokenizer, pattern), f"doc_id {kind}, token_ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decoded(tokens: DataFrame, tokenizer: str = TOKENIZER, ids: str = "token_ids", name: str = "text") -> DataFrame:
