@@ -106,16 +106,20 @@ def test_packing_keeps_all_text(spark):
     bins = packing.packed(docs, 50, 1000).collect()
     pieces: dict = {}
     for b in bins:
-        assert b.used == sum(b.lengths) <= 50 and len(b.text) == b.used and len({len(x) for x in (b.doc_ids, b.starts, b.lengths)}) == 1
+        assert b.used == sum(b.lengths) + len(b.lengths) <= 50 and len(b.text) == b.used and len({len(x) for x in (b.doc_ids, b.starts, b.lengths)}) == 1
         at = 0
         for i, start, n in zip(b.doc_ids, b.starts, b.lengths):
             pieces.setdefault(i, []).append((start, b.text[at : at + n]))
-            at += n
+            assert b.text[at + n] == packing.END
+            at += n + 1
     for i in {r.doc_id for r in docs.collect()}:
         want = sum(len(r.text or "") for r in docs.collect() if r.doc_id == i)
         assert sum(len(t) for _, t in pieces.get(i, [])) == want
     assert "".join(t for _, t in sorted(pieces[5])) == "long word " * 20000
     assert packing.packed(empty(spark)).count() == 0
+    assert len({b.bin_id for b in bins}) == len(bins) and len({b.bin_id >> 32 for b in packing.packed(documents(spark, [(None, f"{i} " * 60) for i in range(60)]), 50, 500).collect()}) > 5  # rows without an id go to several shards
+    named = spark.createDataFrame([("b", "x" * 9), ("a", "y" * 9)], "doc_id string, text string")
+    assert [(b.doc_ids, b.text) for b in packing.packed(named).collect()] == [(["a", "b"], "y" * 9 + "\n" + "x" * 9 + "\n")]
 
 
 # tokens
@@ -132,9 +136,22 @@ def test_bpe_equals_whole_encoding():
         assert own.tolist() == codec.encoding.encode_ordinary(t) and codec.decode(own).tobytes() == t.encode()
 
 
-def test_bpe_encodes_shared_chunks_once():
+def test_bpe_small_chunks_equal_whole_encoding(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_BITS", 5)
+    rng = random.Random(4)
+    bits = ["a", "b ", " ", "\u00a0", "\u3000", "字", "字，", "漢。", "é", "1", "'s", " 'll", "!", "\t", "\u2003", "\x1f", "\u0085", "_", "word ", "ж "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 900))) for _ in range(120)]
+    for codec in (bpe.Codec(bpe.TOKENIZER), bpe.Codec(bpe.TOKENIZER, r"\p{L}+ ?|[^\p{L}]+")):  # blanks belong to the word before: no known points
+        assert codec.breaks == (" ?\\p{L}+|" in codec.encoding._pat_str)
+        ids, first = codec.encode(*words.buffers(pa.array(texts)))
+        assert all(ids[first[k] : first[k + 1]].tolist() == codec.encoding.encode_ordinary(t) for k, t in enumerate(texts))
+
+
+@pytest.mark.parametrize("unit", ["w{}x ", "字漢{}語，"])
+def test_bpe_encodes_shared_chunks_once(unit):
     codec = bpe.Codec(bpe.TOKENIZER)
-    passage = prose(random.Random(3), 3000)
+    rng = random.Random(3)
+    passage = "".join(unit.format(rng.randrange(400)) for _ in range(9000))
     codec.encode(*words.buffers(pa.array([passage])))
     before = codec.encoded
     codec.encode(*words.buffers(pa.array(["intro words " + passage, passage + " the end"])))
@@ -168,6 +185,15 @@ def test_chat_odd(spark):
     assert len(rows) == 5 and sorted(len(r.segment) for r in rows)[-1] > 50000
     assert [r.role for r in sorted((r for r in rows if r.conv_id == 1), key=lambda r: r.span_start)] == [None, "assistant", "user", "user"]
     assert chat.formatted(turns.limit(0)).count() == 0
+    lone = chat.formatted(turns.union(turns)).where("conv_id IS NULL").collect()
+    assert [(r.span_start, r.segment) for r in lone] == [(0, "<|im_start|>user\na<|im_end|>\n")] * 2
+
+
+def test_chat_finds_rewritten_history(spark):
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(6)] + [(2, 0, "user", "only")], "conv_id bigint, turn bigint, role string, text string")
+    rows = {(r.template, r.conv_id, r.turn): r for r in chat.formatted(turns, chat.TEMPLATES).collect()}
+    assert [rows["last_four", 1, i].rewrites_history for i in range(6)] == [False] * 4 + [True] * 2 and not any(r.rewrites_history for k, r in rows.items() if k[0] == "chatml")
+    assert [rows["last_four", 1, i].segment for i in range(6)] == [""] * 5 + ["<|im_start|>user\nturn 5<|im_end|>\n"] and rows["last_four", 2, 0].span_start == 0 and rows["last_four", 1, 2].span_end == -1
 
 
 # lines
@@ -638,7 +664,7 @@ def test_pipeline(spark, tmp_path):
         seen.append({r.doc_id for r in now.select("doc_id").collect()} if "doc_id" in now.columns else None)
     assert seen[0] == {i for i, _ in good + near} and seen[1] == seen[0] and seen[2] == {i for i, _ in good} and seen[3] is None
     bins = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted(i for b in bins for i in b.doc_ids) == sorted(i for i, _ in good) and sum(b.used for b in bins) == sum(len(t) for _, t in good)
+    assert sorted(i for b in bins for i in b.doc_ids) == sorted(i for i, _ in good) and sum(sum(b.lengths) for b in bins) == sum(len(t) for _, t in good)
 
 
 def test_pipeline_odd(spark, tmp_path):
