@@ -1,19 +1,19 @@
 """Operator 7: language-model scores of documents by a hashed maximum-entropy model.
 
-The next word's probability is p(class | history) p(word | class, history); both are softmaxes over 64 outcomes whose logits sum hashed weights of four features of the history: the
-word before (bigram), the two before (trigram), and the words two and three back alone (skips), above the unigram as bias. The 3840 words that are most
-frequent in the corpus have outcomes of their own, in classes by frequency; the rest share 256 hashed ones, and of a shared outcome's probability a word gets its share of the outcome's count in the corpus.
-All words that the corpus doesn't have share one more occurrence of each outcome.
+The next word's probability is a product over the levels of a tree of classes, each a softmax over ``SIDE`` outcomes: p(class | history) p(class within it | history, class) ... p(word | history, classes). Logits sum hashed weights of
+four features of the history: the word before (bigram), the two before (trigram), and the words two and three back alone (skips), above the unigram as bias. Words are in classes by their frequency in the corpus. With
+as many levels as the corpus's distinct words need, ``LEVELS`` at most (65,536 outcomes), each word has an outcome of its own; of more, the 61,440 most frequent have, and the rest share 4,096 hashed ones, of which
+a word gets the share that its count in the corpus has. All words that the corpus doesn't have share one more occurrence of each such outcome.
 
 Training covers all documents: words are counted over the whole corpus by a shuffle, and in every round each task walks once through all its texts with gradient updates from the common weights;
-the tasks' weights are shuffled by row and averaged by how often a task used the row. An update adds the gradients of all events of a batch that share a row; of rows with more than ``LIMIT`` events the sum is scaled to
+the tasks' weights are shuffled in blocks of ``ROWS`` rows and averaged by how often a task used the row. An update adds the gradients of all events of a batch that share a row; of rows with more than ``LIMIT`` events the sum is scaled to
 ``LIMIT`` times their mean, as it diverges otherwise. Scoring is one map over the documents in sparse numpy batches.
 
-Scale: counts and weights gathered grow with the number of tasks, that is with the input. The weight tables have a row for each history the corpus can have, up to ``CLASS_ROWS`` and ``WORD_ROWS`` (48 MB); beyond that, histories share rows.
-Counts of up to ``HELD`` words are broadcast (12 MB); those of rarer words that occur more than once are joined, so that every word has its own.
+Scale: counts and weights gathered grow with the number of tasks, that is with the input; what a task averages is a small part of the blocks. Each feature of each level has a table of as many rows as the corpus may have histories, 2^``BITS`` at most (33 MB for all);
+beyond that, histories share rows. Counts of up to ``HELD`` words are broadcast (12 MB); those of rarer words that occur more than once are joined, so that every word has its own.
 
-Defined cases: a null text, or one without a word, has n_words 0 and null scores; repeated rows get equal scores; doc_id may be null; a word is a lower-cased run of letters, digits and underscores;
-an empty table gives no rows; further columns are ignored, whatever their names. Scores depend slightly on how the texts fall into tasks, as the order of updates does.
+Defined cases: a null text, or one without a word, has n_words 0 and null scores; repeated rows get equal scores; doc_id may be null; a word is a run of ASCII letters, digits, underscores and all other non-ASCII characters,
+lower-cased in ASCII and Latin-1; an empty table gives no rows; further columns are ignored, whatever their names. Scores depend slightly on how the texts fall into tasks, as the order of updates does.
 
 Result: doc_id, n_words, log2_prob, bits_per_word, perplexity.
 """
@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .words import buffers, mix, pieces, word_hashes
 
-SIDE = 64  # classes, and words of a class
-TOP = 60 * SIDE
-CLASS_ROWS, WORD_ROWS = 1 << 16, 1 << 17  # at most
+SIDE = 16
+LEVELS = 4  # at most
+BITS = 15  # at most; 16 would be sorted as fast
 HELD = 1 << 20
 FEATURES = 4
-BATCH = 4096
+BATCH = 1 << 14
+ROWS = 64  # of a block that is shuffled
+GROUP = 32  # blocks averaged together
 RATE = 0.1
 ROUNDS = 1
 LIMIT = 8  # times the mean gradient that a row moves by at most in a batch; with 4 features, steps above 10 times can overshoot (the softmax's curvature is at most 1/2)
@@ -50,42 +52,35 @@ def history(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def add_summed(rows: np.ndarray, index: np.ndarray, change: np.ndarray) -> None:
-    """rows[index] += change where every event counts, also those that share a row; a row's sum is at most ``LIMIT`` times its mean."""
-    order = np.argsort(index.astype(np.uint16) if len(rows) <= 1 << 16 else index, kind="stable")  # of 16 bits: by radix
+    """rows[index] += change where every event counts, also those that share a row; a row's sum is at most ``LIMIT`` times its mean. index: 16 bits, which are sorted by radix."""
+    order = np.argsort(index, kind="stable")
     at = index[order]
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), at[1:] != at[:-1]]))
     n = np.diff(starts, append=len(at))
-    fall = np.argsort((len(at) - n).astype(np.uint16 if len(at) < 1 << 16 else np.int64), kind="stable")
-    starts, n = starts[fall], n[fall]
-    total = change.take(order[starts], 0)
-    k, left = 1, int((n > 1).sum())
-    while left > 16:  # the k-th event of all rows that have one
-        total[:left] += change.take(order[starts[:left] + k], 0)
-        k += 1
-        left = int(np.searchsorted(-n, -k))
-    for i in range(left):
-        total[i] += change.take(order[starts[i] + k : starts[i] + n[i]], 0).sum(0)
-    many = int(np.searchsorted(-n, -LIMIT))
-    total[:many] *= (LIMIT / n[:many]).astype(np.float32)[:, None]
+    if not len(at):
+        return
+    total = np.add.reduceat(change.view(np.complex64).take(order, 0), starts, 0).view(np.float32)  # pairs of numbers at once
+    many = np.flatnonzero(n > LIMIT)
+    total[many] *= (LIMIT / n[many]).astype(np.float32)[:, None]
     rows[at[starts]] += total
 
 
 class Model:
     tail: DataFrame | None = None  # (h, n) of words that occur more than once and aren't held; stays with the driver
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, rare: np.ndarray, histories: int = 0) -> None:
-        """words: the hashes of the most frequent, by falling count; counts: theirs; rare: counts of the 256 hashed outcomes; histories: how many there may be."""
+    def __init__(self, words: np.ndarray, counts: np.ndarray, rare: np.ndarray, histories: int = 1 << 62) -> None:
+        """words: the hashes of those with an outcome of their own, by falling count; counts: theirs; rare: counts of the shared outcomes, a power of SIDE of them; histories: how many there may be."""
+        self.levels = next(n for n in range(1, 9) if SIDE ** (n - 1) == len(rare))
         order = np.argsort(words)
-        self.sorted, self.ids = words[order], order
-        full = np.zeros(SIDE * SIDE)
-        full[: len(counts)] = counts
-        full[TOP:] = rare
-        full = full.reshape(SIDE, SIDE) + 0.1
-        self.class_bias = np.log(full.sum(1) / full.sum()).astype(np.float32)
-        self.word_bias = np.log(full / full.sum(1, keepdims=True)).astype(np.float32)
-        rows = 1 << max(10, int(histories - 1).bit_length())
-        self.class_rows = np.zeros((min(rows, CLASS_ROWS), SIDE), np.float32)
-        self.word_rows = np.zeros((min(2 * rows, WORD_ROWS), SIDE), np.float32)
+        self.sorted, self.ids, self.top = words[order], order, len(words)
+        mass = np.full(SIDE**self.levels, 1e-9)
+        mass[: self.top + len(rare)] = np.concatenate([counts, rare]) + 0.1
+        self.bias = []
+        for n in range(1, self.levels + 1):
+            sums = mass.reshape(SIDE**n, -1).sum(1).reshape(-1, SIDE)
+            self.bias.append(np.log(sums / sums.sum(1, keepdims=True)).astype(np.float32))
+        self.bits = min(BITS, max(8, int(histories - 1).bit_length()))
+        self.rows = np.zeros((self.levels * FEATURES << self.bits, SIDE), np.float32)
         self.rare_logs = np.log(rare + 1.0)
         self.hold(np.zeros(0, np.uint64), np.zeros(0))
 
@@ -99,8 +94,8 @@ class Model:
     def shares(self, words: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log of each word's share of its outcome, the words whose count isn't held and was taken as 1)."""
         logs = np.zeros(len(words))
-        rare = np.flatnonzero(outcome >= TOP)
-        logs[rare] = -self.rare_logs[outcome[rare] - TOP]
+        rare = np.flatnonzero(outcome >= self.top)
+        logs[rare] = -self.rare_logs[outcome[rare] - self.top]
         if not len(self.held):
             return logs, rare
         at = np.minimum(np.searchsorted(self.held, words[rare]), len(self.held) - 1)
@@ -109,23 +104,26 @@ class Model:
         return logs, rare[~found]
 
     def outcomes(self, words: np.ndarray) -> np.ndarray:
-        rare = TOP + (words % np.uint64(SIDE * SIDE - TOP)).astype(np.int64)
+        rare = self.top + (words & np.uint64(len(self.rare_logs) - 1)).astype(np.int64)
         if not len(self.sorted):
             return rare
         at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
         return np.where(self.sorted[at] == words, self.ids[at], rare)
 
-    def step(self, outcome: np.ndarray, features: np.ndarray, rate: float = 0.0, used: list[list[np.ndarray]] | None = None) -> np.ndarray:
-        """Natural log probabilities of a batch; with a rate, a gradient update follows."""
-        c, w = outcome // SIDE, outcome % SIDE
+    def step(self, outcome: np.ndarray, features: np.ndarray, rate: float = 0.0, used: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probabilities of a batch; with a rate, a gradient update follows. used: a count of events for each row, which grows."""
         at = np.arange(len(outcome))
         total = np.zeros(len(outcome), np.float32)
-        class_at = (features & np.uint64(len(self.class_rows) - 1)).astype(np.int64)
-        word_at = (mix(features + c.astype(np.uint64)) & np.uint64(len(self.word_rows) - 1)).astype(np.int64)
-        for k, (rows, index, bias, target) in enumerate(((self.class_rows, class_at, self.class_bias, c), (self.word_rows, word_at, self.word_bias[c], w))):
-            logits = bias + rows.take(index[0], 0)
-            for i in index[1:]:
-                logits += rows.take(i, 0)
+        size = 1 << self.bits
+        for level, bias in enumerate(self.bias):
+            node = outcome // SIDE ** (self.levels - level)
+            target = outcome // SIDE ** (self.levels - 1 - level) % SIDE
+            salt = (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level + 1)) * np.uint64(0xA0761D6478BD642F)
+            index = (((features ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.uint16)
+            first = level * FEATURES * size
+            logits = bias.take(node, 0)
+            for k in range(FEATURES):
+                logits += self.rows[first + k * size : first + (k + 1) * size].take(index[k], 0)
             np.minimum(logits, 80, out=logits)
             p = np.exp(logits)
             norm = p.sum(1, keepdims=True)
@@ -133,9 +131,10 @@ class Model:
             if rate:
                 p *= -rate / norm
                 p[at, target] += rate
-                for i in index:
-                    add_summed(rows, i, p)
-                used[k].append(index.ravel())
+                for k in range(FEATURES):
+                    add_summed(self.rows[first + k * size : first + (k + 1) * size], index[k], p)
+                    if used is not None:
+                        used[first + k * size : first + (k + 1) * size] += np.bincount(index[k], minlength=size)
         return total
 
 
@@ -162,69 +161,55 @@ def _train(shared, rate: float):
         for batch in batches:
             if model is None:
                 model = copy.copy(shared.value)
-                model.class_rows, model.word_rows = model.class_rows.copy(), model.word_rows.copy()
-                used = [np.zeros(len(model.class_rows), np.int64), np.zeros(len(model.word_rows), np.int64)]
+                model.rows, used = model.rows.copy(), np.zeros(len(model.rows), np.int64)
             for *_, outcome, features in _events(model, batch.column(0)):
-                touched: list[list[np.ndarray]] = [[], []]
                 for a in range(0, len(outcome), BATCH):
-                    model.step(outcome[a : a + BATCH], features[:, a : a + BATCH], rate, touched)
-                for n, t in zip(used, touched):
-                    if t:
-                        n += np.bincount(np.concatenate(t), minlength=len(n))
+                    model.step(outcome[a : a + BATCH], features[:, a : a + BATCH], rate, used)
         if model is not None:
-            for base, rows, n in ((0, model.class_rows, used[0]), (len(model.class_rows), model.word_rows, used[1])):
-                full = np.flatnonzero(n)
-                for a in range(0, len(full), 8192):
-                    part = full[a : a + 8192]
-                    flat = rows[part].astype(np.float16)
-                    yield pa.RecordBatch.from_arrays([pa.array(part + base, pa.int32()), pa.array(n[part]), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SIDE), len(part), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())], ["row", "n", "w"])
+            n, w = used.astype(np.uint32).reshape(-1, ROWS), model.rows.astype(np.float16).reshape(-1, ROWS * SIDE)
+            full = np.flatnonzero(n.any(1))
+            for a in range(0, len(full), 512):
+                part = full[a : a + 512]
+                columns = n[part], w[part]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in columns)], ["block", "n", "w"])
 
     return run
 
 
 def _average(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = 512
-    sums, counts = np.zeros((size, SIDE)), np.zeros(size)
-    base = key[0].as_py() * size
+    sums, counts = np.zeros((GROUP, ROWS, SIDE)), np.zeros((GROUP, ROWS))
+    base = key[0].as_py() * GROUP
     for batch in batches:
-        at = np.asarray(batch.column("row")) - base
-        n = np.asarray(batch.column("n")).astype(float)
-        w = np.frombuffer(b"".join(batch.column("w").to_pylist()), np.float16).reshape(len(at), SIDE)
-        order = np.argsort(at, kind="stable")
-        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
-        sums[at[order][starts]] += np.add.reduceat(w[order] * n[order, None], starts, 0)
-        counts += np.bincount(at, n, size)
-    full = np.flatnonzero(counts)
-    mean = (sums[full] / counts[full, None]).astype(np.float32)
-    yield pa.RecordBatch.from_arrays([pa.array(full + base, pa.int32()), pa.array([m.tobytes() for m in mean], pa.binary())], ["row", "w"])
+        for block, n, w in zip(batch.column("block").to_pylist(), batch.column("n"), batch.column("w")):
+            n = np.frombuffer(n.as_buffer(), np.uint32).astype(float)
+            sums[block - base] += np.frombuffer(w.as_buffer(), np.float16).reshape(ROWS, SIDE) * n[:, None]
+            counts[block - base] += n
+    full = np.flatnonzero(counts.any(1))
+    mean = (sums / np.maximum(counts, 1)[:, :, None]).astype(np.float16)
+    yield pa.RecordBatch.from_arrays([pa.array(full + base, pa.int32()), pa.array([mean[i].tobytes() for i in full], pa.binary())], ["block", "w"])
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
     """The model of all texts."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     counts = stored(texts.mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
-    top = counts.orderBy(F.desc("n"), "h").limit(TOP).toArrow()
+    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    levels = next((n for n in range(1, LEVELS) if SIDE**n - SIDE ** (n - 1) >= distinct), LEVELS)
+    rest = SIDE ** (levels - 1)
+    top = counts.orderBy(F.desc("n"), "h").limit(SIDE**levels - rest).toArrow()
     words = np.asarray(top["h"]).view(np.uint64)
-    rest = SIDE * SIDE - TOP
-    all_rare, n_words, distinct = np.zeros(rest), 0, 0
-    unsigned = ((F.col("h") % rest) + F.when(F.col("h") < 0, F.lit((1 << 64) % rest)).otherwise(F.lit(0)) + rest) % rest  # h as an unsigned number
-    for slot, n, m in counts.groupBy(unsigned.cast("int").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect():
-        all_rare[slot] = n
-        n_words, distinct = n_words + n, distinct + m
-    all_rare -= np.bincount((words % np.uint64(rest)).astype(np.int64), np.asarray(top["n"]), rest)
-    model = Model(words, np.asarray(top["n"]), all_rare, n_words + 3 * distinct)  # at most a trigram for each word, and one history of each other feature for each distinct word
+    rare = -np.bincount((words & np.uint64(rest - 1)).astype(np.int64), np.asarray(top["n"]), rest)
+    for slot, n in counts.groupBy(F.col("h").bitwiseAND(rest - 1).alias("slot")).agg(F.sum("n")).collect():  # of SIDE^(LEVELS - 1) at most
+        rare[slot] += n
+    model = Model(words, np.asarray(top["n"]), rare, n_words + 3 * distinct)  # at most a trigram for each word, and one history of each other feature for each distinct word
     spark = docs.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        made = texts.mapInArrow(_train(shared, rate), "row int, n bigint, w binary")
-        mean = made.groupBy(F.expr("row div 512").alias("block")).applyInArrow(_average, "row int, w binary").toArrow()
+        made = texts.mapInArrow(_train(shared, rate), "block int, n binary, w binary")
+        mean = made.groupBy(F.expr(f"block div {GROUP}").alias("g")).applyInArrow(_average, "block int, w binary").toArrow()
         shared.destroy()
-        rows = np.asarray(mean["row"])
-        if len(rows):
-            values = np.frombuffer(b"".join(mean["w"].to_pylist()), np.float32).reshape(len(rows), SIDE)
-            low = rows < len(model.class_rows)
-            model.class_rows[rows[low]] = values[low]
-            model.word_rows[rows[~low] - len(model.class_rows)] = values[~low]
+        if mean.num_rows:
+            model.rows.reshape(-1, ROWS * SIDE)[np.asarray(mean["block"])] = np.frombuffer(b"".join(mean["w"].to_pylist()), np.float16).reshape(mean.num_rows, -1)
     size, again = F.floor(F.log2("n") * 16), counts.where("n > 1")
     least, room = None, HELD
     for b, n in sorted(again.groupBy(size.alias("b")).count().collect(), reverse=True):

@@ -355,7 +355,7 @@ def test_lm_prefers_known_text(spark):
         return " ".join(out)
 
     docs = documents(spark, [(i, walk(400)) for i in range(300)])
-    model = lm.train(docs, rounds=2)
+    model = lm.train(docs)
     new = [walk(300) for _ in range(20)]
     test = documents(spark, [(i, t) for i, t in enumerate(new)] + [(100 + i, " ".join(rng.sample(t.split(), 300))) for i, t in enumerate(new)])
     bits = {r.doc_id: r.bits_per_word for r in lm.scored(test, model).collect()}
@@ -363,31 +363,73 @@ def test_lm_prefers_known_text(spark):
     assert abs(bits[0] * 300 + {r.doc_id: r.log2_prob for r in lm.scored(test, model).collect()}[0]) < 1e-6
 
 
+def small_model():
+    return lm.Model(np.array([5, 9], np.uint64), np.array([3, 2]), np.ones(lm.SIDE), 4000)
+
+
 def test_lm_probabilities_sum_to_one():
-    model = lm.Model(np.array([5, 9], np.uint64), np.array([3, 2]), np.ones(256))
+    model = small_model()
     rng = np.random.default_rng(2)
-    model.class_rows[:], model.word_rows[:] = rng.normal(0, 0.5, model.class_rows.shape), rng.normal(0, 0.5, model.word_rows.shape)
+    model.rows[:] = rng.normal(0, 0.5, model.rows.shape)
     features = np.repeat(rng.integers(0, 1 << 63, (lm.FEATURES, 1)).astype(np.uint64), lm.SIDE**2, 1)
     assert abs(np.exp(model.step(np.arange(lm.SIDE**2), features)).sum() - 1) < 1e-3
 
 
 def test_lm_equal_events_of_a_batch_both_count():
     def moved(n):
-        model = lm.Model(np.array([5, 9], np.uint64), np.array([3, 2]), np.ones(256))
-        model.step(np.zeros(n, int), np.repeat(np.array([[1], [2], [3], [4]], np.uint64), n, 1), 0.1, [[], []])
-        return model.class_rows[1], model.word_rows
+        model = small_model()
+        model.step(np.zeros(n, int), np.repeat(np.array([[1], [2], [3], [4]], np.uint64), n, 1), 0.1)
+        return model.rows
 
     one, two, many = moved(1), moved(2), moved(40)
-    assert all(np.any(a) and np.allclose(b, 2 * a) and np.allclose(c, lm.LIMIT * a) for a, b, c in zip(one, two, many))
+    assert np.any(one) and np.allclose(two, 2 * one) and np.allclose(many, lm.LIMIT * one)
     rng = np.random.default_rng(3)
-    index, change = rng.zipf(1.5, 4096) % 700, rng.normal(size=(4096, lm.SIDE)).astype(np.float32)
+    index, change = (rng.zipf(1.5, 4096) % 700).astype(np.uint16), rng.normal(size=(4096, lm.SIDE)).astype(np.float32)
     got, want = np.zeros((2, 1 << 14, lm.SIDE), np.float32)
     lm.add_summed(got, index, change)
     np.add.at(want, index, change)
     assert np.allclose(got, want * np.minimum(1, lm.LIMIT / np.maximum(np.bincount(index, minlength=1 << 14), 1))[:, None], atol=1e-3)
 
 
+def test_lm_step_equals_naive_loop():
+    """A batch of events against loops over levels, features and outcomes of each."""
+    rng, model = np.random.default_rng(7), small_model()
+    model.rows[:] = rng.normal(0, 0.3, model.rows.shape)
+    features, outcome = rng.integers(0, 40, (lm.FEATURES, 60)).astype(np.uint64), rng.integers(0, 18, 60)
+    before, size = model.rows.astype(float), 1 << model.bits
+    used = np.zeros(len(before), np.int64)
+    got = model.step(outcome, features, 0.1, used)
+    change, events, want = np.zeros(before.shape), np.zeros(len(before), int), []
+    for e in range(60):
+        log = 0.0
+        for level in range(2):
+            node = int(outcome[e]) // 16 ** (2 - level)
+            digit = int(outcome[e]) // 16 ** (1 - level) % 16
+            salt = (node * 0xD6E8FEB86659FD93 + level + 1) * 0xA0761D6478BD642F & (1 << 64) - 1
+            rows = [(level * 4 + k) * size + ((int(features[k, e]) ^ salt) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 >> 0) // (1 << 64 - model.bits) for k in range(4)]
+            logits = model.bias[level][node] + sum(before[r] for r in rows)
+            p = np.exp(logits) / np.exp(logits).sum()
+            log += math.log(p[digit])
+            for r in rows:
+                change[r] += 0.1 * ((np.arange(16) == digit) - p)
+                events[r] += 1
+        want.append(log)
+    change *= np.minimum(1, lm.LIMIT / np.maximum(events, 1))[:, None]
+    assert np.allclose(got, want, atol=1e-4) and np.allclose(model.rows, before + change, atol=1e-4) and used.tolist() == events.tolist()
+
+
+def test_lm_average_weighs_rows_by_use():
+    rng = np.random.default_rng(1)
+    n, w = rng.integers(0, 3, (3, lm.ROWS)).astype(np.uint32), rng.normal(size=(3, lm.ROWS, lm.SIDE)).astype(np.float16)
+    batch = pa.RecordBatch.from_arrays([pa.array([33] * 3, pa.int32()), pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in w], pa.binary())], ["block", "n", "w"])
+    (out,) = lm._average((pa.scalar(1),), [batch])
+    got = np.frombuffer(out.column(1)[0].as_py(), np.float16).reshape(lm.ROWS, lm.SIDE)
+    want = (w.astype(float) * n[:, :, None]).sum(0) / np.maximum(n.sum(0), 1)[:, None]
+    assert out.column(0).to_pylist() == [33] and np.allclose(got, want, atol=1e-2)
+
+
 def test_lm_rare_words_share_an_outcome(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEVELS", 3)  # 3840 words of their own
     many = [f"r{i}" for i in range(6000)]
     docs = documents(spark, [(0, " ".join(w for i, w in enumerate(many) for _ in range(9 if i < 4500 else 1 + i % 5)))])
     test = documents(spark, [(i, w) for i, w in enumerate([*many, "unseen"])] + [(0, many[0])])
@@ -395,13 +437,14 @@ def test_lm_rare_words_share_an_outcome(spark, monkeypatch):
     for held in (1 << 20, 5000, 0):  # the counts of none, of some and of all words are joined
         monkeypatch.setattr(lm, "HELD", held)
         model = lm.train(docs)
-        assert (model.tail is None) == (held > 6000)
+        assert (model.tail is None) == (held > 6000) and model.top == 3840
         rows = lm.scored(test, model).collect()
         assert len(rows) == 6002
         bits[held] = {r.doc_id: r.bits_per_word for r in rows}
         assert 0.9 < sum(2**-b for b in bits[held].values()) < 1.01
     assert all(abs(bits[h][i] - b) < 1e-4 for i, b in bits[1 << 20].items() for h in (5000, 0))
-    assert len(model.class_rows) == lm.Model(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(256), 60000).class_rows.shape[0] > len(lm.train(test.limit(9)).class_rows)
+    monkeypatch.undo()
+    assert lm.train(docs).top == 6000 and lm.train(test.limit(9)).levels < lm.train(docs).levels
 
 
 def test_lm_odd(spark):
