@@ -37,7 +37,7 @@ HELD = 1 << 20
 FEATURES = 4
 BATCH = 1 << 14
 ROWS = 64  # of a block that is shuffled
-GROUP = 32  # blocks averaged together
+GROUP = 4  # blocks averaged together
 RATE = 0.1
 ROUNDS = 1
 LIMIT = 8  # times the mean gradient that a row moves by at most in a batch; with 4 features, steps above 10 times can overshoot (the softmax's curvature is at most 1/2)

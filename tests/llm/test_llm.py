@@ -421,11 +421,11 @@ def test_lm_step_equals_naive_loop():
 def test_lm_average_weighs_rows_by_use():
     rng = np.random.default_rng(1)
     n, w = rng.integers(0, 3, (3, lm.ROWS)).astype(np.uint32), rng.normal(size=(3, lm.ROWS, lm.SIDE)).astype(np.float16)
-    batch = pa.RecordBatch.from_arrays([pa.array([33] * 3, pa.int32()), pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in w], pa.binary())], ["block", "n", "w"])
+    batch = pa.RecordBatch.from_arrays([pa.array([lm.GROUP + 1] * 3, pa.int32()), pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in w], pa.binary())], ["block", "n", "w"])
     (out,) = lm._average((pa.scalar(1),), [batch])
     got = np.frombuffer(out.column(1)[0].as_py(), np.float16).reshape(lm.ROWS, lm.SIDE)
     want = (w.astype(float) * n[:, :, None]).sum(0) / np.maximum(n.sum(0), 1)[:, None]
-    assert out.column(0).to_pylist() == [33] and np.allclose(got, want, atol=1e-2)
+    assert out.column(0).to_pylist() == [lm.GROUP + 1] and np.allclose(got, want, atol=1e-2)
 
 
 def test_lm_rare_words_share_an_outcome(spark, monkeypatch):
