@@ -73,25 +73,33 @@ def boundaries(text: str, lang: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
-    for batch in batches:
-        found = [[dict(zip(("name", "start_line", "end_line"), f)) for f in boundaries(text or "", lang)] for lang, text in zip(batch.column("lang").to_pylist(), batch.column("content").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("lang"), pa.array(found, kind)], ["path", "lang", "found"])
+_FOUND = "path string, lang string, name string, start_line int, end_line int"
 
 
-def functions(files: DataFrame) -> DataFrame:
-    """(path, lang, name, start_line, end_line) of all functions of files(path, lang, content). The search is sequential within a file, so it runs in Python, a batch of files at a time."""
+def _find(bodies: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "lang", "name", "start_line", "end_line", *(["content"] if bodies else [])]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        for batch in batches:
+            for path, lang, text in zip(*(batch.column(c).to_pylist() for c in ("path", "lang", "content"))):
+                found = boundaries(text or "", lang)
+                if found:
+                    lines = text.split("\n") if bodies else None
+                    rows = [(path, lang, *f, *(["\n".join(lines[f[1] - 1 : f[2]])] if bodies else [])) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return run
+
+
+def functions(files: DataFrame, bodies: bool = False) -> DataFrame:
+    """(path, lang, name, start_line, end_line) of all functions of files(path, lang, content); with their lines as content, if wanted.
+
+    The search is sequential within a file, so it runs in Python, a batch of files at a time."""
     some = files.where(F.col("lang").isin(sorted(_PATTERNS))).select("path", "lang", "content")
-    found = some.mapInArrow(_find, "path string, lang string, found array<struct<name: string, start_line: int, end_line: int>>")
-    return found.select("path", "lang", F.explode("found").alias("f")).select("path", "lang", "f.*")
+    return some.mapInArrow(_find(bodies), _FOUND + (", content string" if bodies else ""))
 
 
 def function_metrics(files: DataFrame) -> DataFrame:
-    """Each function analysed on its own; its own braces are not a level of nesting."""
-    found = functions(files)
-    lines = split_lines(files.select("path", "content")).select("path", "line_no", "s")
-    of = found.withColumn("line_no", F.explode(F.sequence("start_line", "end_line"))).join(lines, ["path", "line_no"])
-    metrics = brace_metrics(of.select("path", "start_line", "lang", "line_no", "s"), "path", "start_line")
-    wanted = metrics.select("path", "start_line", "code_lines", "cyclomatic", "cognitive", F.greatest(F.lit(0), F.col("max_nesting") - 1).alias("max_nesting"))
-    return found.join(wanted, ["path", "start_line"]).select("path", "name", "start_line", "end_line", "code_lines", "cyclomatic", "cognitive", "max_nesting")
+    """Each function analysed on its own; its own braces are not a level of nesting. The search hands on the functions' lines, so that files are searched once and not joined with their lines."""
+    metrics = brace_metrics(split_lines(functions(files, True)), "path", "name", "start_line", "end_line")
+    return metrics.select("path", "name", "start_line", "end_line", "code_lines", "cyclomatic", "cognitive", F.greatest(F.lit(0), F.col("max_nesting") - 1).alias("max_nesting"))

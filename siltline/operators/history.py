@@ -20,10 +20,13 @@ def module_of(path: Column) -> Column:
 def category_of(message: Column) -> Column:
     """bug_fix, feature, refactoring or other, by the first keyword; of bug and feature the earlier decides."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    bug, feature = (F.regexp_instr(low, F.lit(p)) for p in (BUG, FEATURE))
-    return (
-        F.when((bug > 0) & ((feature == 0) | (bug <= feature)), F.lit("bug_fix")).when(feature > 0, F.lit("feature")).when(low.rlike(REFACTOR), F.lit("refactoring")).otherwise(F.lit("other"))
-    )
+    places = F.array(F.struct(*(F.regexp_instr(low, F.lit(p)).alias(n) for n, p in (("bug", BUG), ("feature", FEATURE)))))
+
+    def decide(x: Column) -> Column:  # bound by a lambda, so that each place is looked for once
+        bug, feature = x["bug"], x["feature"]
+        return F.when((bug > 0) & ((feature == 0) | (bug <= feature)), F.lit("bug_fix")).when(feature > 0, F.lit("feature")).when(low.rlike(REFACTOR), F.lit("refactoring")).otherwise(F.lit("other"))
+
+    return F.get(F.transform(places, decide), F.lit(0))
 
 
 def normal_prefixes(patterns: list[str]) -> list[str]:
@@ -46,7 +49,9 @@ def ranked(rows: DataFrame, *order: Column, limit: int | None = None) -> DataFra
 
 
 def shares(rows: DataFrame, count: str) -> DataFrame:
-    return rows.withColumn("share", F.col(count) / F.sum(count).over(Window.partitionBy()))
+    """With each row's share of the total, which is one row."""
+    total = rows.agg(F.sum(count).alias("__total"))
+    return rows.crossJoin(F.broadcast(total)).withColumn("share", F.col(count) / F.col("__total")).drop("__total")
 
 
 def totals(commits: DataFrame, numstat: DataFrame) -> DataFrame:

@@ -27,10 +27,13 @@ def marked_lines(files: DataFrame) -> DataFrame:
     c_style = F.col("lang").isin(LOG_C_STYLE)
     opens, closes, slashes = s.contains("/*"), s.contains("*/"), s.startswith("//")
     event = F.when(c_style & opens & ~closes & ~slashes, F.lit(1)).when(c_style & closes, F.lit(0))
-    out = lines.withColumn("inside", order.state_before(event) == 1).where((s != "") & ~F.col("inside") & ~(c_style & s.startswith("/*") & ~closes))
     commented = F.when(c_style, slashes | (s.startswith("/*") & closes)).otherwise(s.startswith("#"))
     none = F.lit(None).cast("struct<level: string, category: string>")
-    return out.select("path", "lang", "line_no", commented.alias("commented"), by_lang(lambda lang: log_call(s, lang), sorted(LOG_CALLS), none).alias("call"), F.substring(s, 1, 120).alias("text"))
+    call = by_lang(lambda lang: log_call(s, lang), sorted(LOG_CALLS), none)
+    # all that a line says by itself comes before the shuffle; of the text, only that of calls is shuffled
+    flags = lines.select("path", "lang", "line_no", event.alias("event"), ((s == "") | (c_style & s.startswith("/*") & ~closes)).alias("out"), commented.alias("commented"), call.alias("call"), F.substring(s, 1, 120).alias("text"))
+    flags = flags.withColumn("text", F.when(F.col("call").isNotNull(), F.col("text")))
+    return flags.withColumn("inside", order.state_before(F.col("event")) == 1).where(~F.col("out") & ~F.col("inside")).drop("event", "out", "inside")
 
 
 def log_lines(files: DataFrame) -> DataFrame:
