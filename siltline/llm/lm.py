@@ -32,7 +32,7 @@ from .words import buffers, mix, pieces, word_hashes
 
 SIDE = 16
 LEVELS = 4  # at most
-BITS = 15  # at most; 16 would be sorted as fast
+BITS = 15  # at most
 HELD = 1 << 20
 FEATURES = 4
 BATCH = 1 << 14
@@ -51,18 +51,16 @@ def history(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([mix(back[0] + salts[0]), mix(back[0] * np.uint64(0x9E3779B97F4A7C15) + back[1] + salts[1]), mix(back[1] + salts[2]), mix(back[2] + salts[3])])
 
 
-def add_summed(rows: np.ndarray, index: np.ndarray, change: np.ndarray) -> None:
-    """rows[index] += change where every event counts, also those that share a row; a row's sum is at most ``LIMIT`` times its mean. index: 16 bits, which are sorted by radix."""
-    order = np.argsort(index, kind="stable")
-    at = index[order]
-    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), at[1:] != at[:-1]]))
-    n = np.diff(starts, append=len(at))
-    if not len(at):
-        return
-    total = np.add.reduceat(change.view(np.complex64).take(order, 0), starts, 0).view(np.float32)  # pairs of numbers at once
-    many = np.flatnonzero(n > LIMIT)
-    total[many] *= (LIMIT / n[many]).astype(np.float32)[:, None]
-    rows[at[starts]] += total
+def add_summed(rows: np.ndarray, index: np.ndarray, change: np.ndarray, used: np.ndarray | None = None) -> None:
+    """rows[index] += change where every event counts, also those that share a row; a row's sum is at most ``LIMIT`` times its mean. used: grows by each row's number of events."""
+    n = np.bincount(index, minlength=len(rows))
+    index, events = index.astype(np.intp), n.take(index)
+    if events.max(initial=0) > LIMIT:
+        change = change * np.minimum(1, np.float32(LIMIT) / events.astype(np.float32))[:, None]
+    for to, by in zip(rows.view(np.complex64).T, change.view(np.complex64).T):  # pairs of numbers at once
+        np.add.at(to, index, by)
+    if used is not None:
+        used += n
 
 
 class Model:
@@ -123,7 +121,7 @@ class Model:
             first = level * FEATURES * size
             logits = bias.take(node, 0)
             for k in range(FEATURES):
-                logits += self.rows[first + k * size : first + (k + 1) * size].take(index[k], 0)
+                logits += self.rows[first + k * size : first + (k + 1) * size].take(index[k], 0, mode="clip")
             np.minimum(logits, 80, out=logits)
             p = np.exp(logits)
             norm = p.sum(1, keepdims=True)
@@ -132,9 +130,8 @@ class Model:
                 p *= -rate / norm
                 p[at, target] += rate
                 for k in range(FEATURES):
-                    add_summed(self.rows[first + k * size : first + (k + 1) * size], index[k], p)
-                    if used is not None:
-                        used[first + k * size : first + (k + 1) * size] += np.bincount(index[k], minlength=size)
+                    own = slice(first + k * size, first + (k + 1) * size)
+                    add_summed(self.rows[own], index[k], p, None if used is None else used[own])
         return total
 
 
