@@ -86,6 +86,15 @@ def _git(path: str, *args: str) -> bytes:
     return done.stdout
 
 
+def problem(path: str) -> str | None:
+    """Why there is no log to read in this folder, if so."""
+    try:
+        _git(path, "rev-parse", "HEAD")
+    except (RuntimeError, OSError) as e:
+        return str(e)
+    return None
+
+
 class _LogReader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path = path

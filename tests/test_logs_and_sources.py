@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import random
 import re
 import subprocess
 
 from pyspark.sql import functions as F
 
+from siltline.__main__ import main
 from siltline.functions.dates import instant, month_of, year_of
 from siltline.functions.logcalls import LOG_CALLS
 from siltline.functions.paths import _glob, excluded
@@ -121,6 +123,44 @@ def test_tree_git_and_reports(spark, tmp_path):
     made = report.history_report(spark, str(tmp_path))
     assert made["total_commits"] == 1 and made["total_files"] == 2 and made["authors"][0]["author"] == "Ann" and made["code_age"]["buckets"][0]["lines"] == 5
     assert "TOP FILES" in report.as_text(made, "t") and "Fix" not in report.as_json(made)
+    whole = report.history_json(made)
+    assert list(whole) == "total_unique_commits total_files top_20_files categories authors year_distribution monthly_bugs_vs_features modules module_bugs module_features code_age_by_lines".split()
+    assert whole["authors"] == [["Ann", 1]] and whole["categories"] == {"bug_fix": 1} and whole["code_age_by_lines"]["total_lines"] == 5 and len(whole["code_age_by_lines"]["buckets"][0]["top_modules"]) > 0
+    assert report.history_json(report.history_report(spark, str(tmp_path), ages=False))["code_age_by_lines"] is None
+    file = found["files"][0]
+    assert list(file) == "path language total_lines code_lines comment_lines blank_lines cyclomatic cognitive max_nesting functions function_detail".split() and len(found["summary"]) == 21
+    logged = report.logging_report(spark, str(tmp_path))
+    assert len(logged["summary"]) == 8 and len(logged["files"][0]) == 9
+    text = report.as_text(report.logging_sections(logged, logged["verdict"], 1), "t")
+    assert "TOP 1 FILES BY LOG LINES" in text and "verdict" in text
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.py").write_text("def f(x):\n    if x:\n        return 1\n\n\ndef g():\n    return 2\n")
+    (tmp_path / "b.js").write_text("function f(x) {\n  if (x) {\n    return 1;\n  }\n}\nfunction g() {\n  return 2;\n}\n")
+    (tmp_path / "c.html").write_text("<p>\n</p>\n" * 9)
+    assert main(["complexity", str(tmp_path), "-t", "1", "-v"]) == 0
+    text = capsys.readouterr().out
+    sizes, functions = text.split("TOP 1 FILES BY CODE LINES")[1].split("\n\n")[0], text.split("TOP 1 FUNCTIONS BY CYCLOMATIC")[1].split("\n\n")[0]
+    assert "c.html" in sizes and "a.py" not in sizes and " f " in functions and " g " not in functions and "ALL FILES" in text and "verdict: " in text
+    assert main(["complexity", str(tmp_path), "-j", "--exclude", ".py", ".html"]) == 0
+    made = json.loads(capsys.readouterr().out)
+    assert set(made) == {"summary", "files"} and [f["path"] for f in made["files"]] == ["b.js"] and set(made["files"][0]["function_detail"][0]) == {"name", "file", "start_line", "end_line", "code_lines", "cyclomatic", "cognitive", "max_nesting"}
+    assert main(["logging", str(tmp_path), "-e", ".py", ".js", ".html"]) == 0 and "No files found" in capsys.readouterr().out
+    assert main(["logging", str(tmp_path / "none")]) == 1 and main(["history", str(tmp_path)]) == 1 and capsys.readouterr().err
+    log = tmp_path / "log.txt"
+    log.write_text("commit " + "a" * 40 + "\nAuthor: Ann <a@x>\nDate:   Mon Jan 5 10:00:00 2026 +0000\n\n    add x\n\n1\t0\ta.py\n")
+    assert main(["history", str(tmp_path), "-H", str(log), "--no-code-age", "-o", str(tmp_path / "out.json")]) == 0
+    assert json.loads((tmp_path / "out.json").read_text())["total_unique_commits"] == 1
+
+
+def test_advisories_and_distributions():
+    counts = {"low": 3, "very_high": 2, "extreme": 1}
+    made = {f"{n}_distribution": report.distribution(counts if k in ("cc", "nest") else {}, k) for k, n in (("cc", "cyclomatic"), ("cog", "cognitive"), ("nest", "nesting"), ("fn", "functions_per_file"))}
+    assert list(made["cyclomatic_distribution"])[:5] == ["low_1_to_10", "moderate_11_to_20", "high_21_to_50", "very_high_51_to_100", "extreme_above_100"]
+    assert list(made["nesting_distribution"])[:5] == ["low_0_to_2", "moderate_3_to_4", "high_5_to_6", "very_high_7_to_9", "extreme_10_plus"]
+    assert made["cyclomatic_distribution"]["thresholds"] == {"low_max": 10, "moderate_max": 20, "high_max": 50, "very_high_max": 100} and "reference" in made["cognitive_distribution"]
+    assert [a.split(" file")[0] for a in report.advisories(made)] == ["2", "1", "2", "1"] and "above 9" in report.advisories(made)[3]
 
 
 def test_stream_equals_batch(spark, tmp_path):
