@@ -38,8 +38,9 @@ WIDTH = BUCKETS + STATS * STEPS + 2 * META
 RANK = 4
 MAX_TRAIN = 16000
 PREFIXES = (3, 5)  # word beginnings of so many bytes are features as well, for inflected and coined words
-MIN_SHARE = 3 / 4000  # a feature in a smaller share of the training documents has no weight
+MIN_DOCS = 12  # a feature in fewer of MAX_TRAIN training documents has no weight; of fewer documents, the limit falls as a power of 0.375 of them, so that of up to 20 every feature has one
 EPOCHS = 6
+UPDATES = 100  # at least; few documents are gone through more often
 BATCH = 128
 RATE = 0.2
 RATE_PAIRS = 0.05
@@ -141,7 +142,7 @@ def fit(ids: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seed: int = 1
     often = np.zeros(WIDTH, np.int64)
     for a in range(0, len(ids), 1 << 20):  # in parts, as the counting copies them
         often += np.bincount(ids[a : a + (1 << 20)], minlength=WIDTH)
-    often = often >= max(1.0, n * MIN_SHARE)
+    often = often >= max(1.0, MIN_DOCS * (n / MAX_TRAIN) ** 0.375)
     used = np.flatnonzero(often)
     local = np.full(WIDTH, -1, np.int32)
     local[used] = np.arange(len(used))
@@ -152,7 +153,7 @@ def fit(ids: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seed: int = 1
     weights[:, :, 1:] = rng.normal(0, 0.01, weights[:, :, 1:].shape)
     past = np.full(weights.shape, 1e-2)
     rate = np.array([RATE, *[RATE_PAIRS] * RANK])
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, -(-UPDATES // -(-n // BATCH)))):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             docs = order[at : at + BATCH]
