@@ -24,14 +24,18 @@ def by_lang(make, langs: list[str], default: Column) -> Column:
 
 
 def _counts(which: int, langs: list[str]) -> Column:
-    """Matches of one of the three pattern lists; what all the languages share is counted once."""
-    lists = [COMPLEXITY[lang][which] for lang in langs]
-    base = [p for p in lists[0] if all(p in x for x in lists)]
-    return count(F.col("s"), base) + by_lang(lambda lang: count(F.col("s"), [p for p in COMPLEXITY[lang][which] if p not in base]), langs, F.lit(0))
+    """Matches of one of the three pattern lists; each pattern is counted once, for the languages that have it."""
+    out = F.lit(0)
+    for p in dict.fromkeys(p for lang in langs for p in COMPLEXITY[lang][which]):
+        own = [lang for lang in langs if p in COMPLEXITY[lang][which]]
+        n = count(F.col("s"), [p])
+        out = out + (n if own == langs else F.when(F.col("lang").isin(own), n).otherwise(F.lit(0)))
+    return out
 
 
 def _is_function(langs: list[str]) -> Column:
-    return by_lang(lambda lang: matches(squeezed(F.col("s")), FUNCTION[lang]).cast("int"), [x for x in langs if x in FUNCTION], F.lit(0))
+    """Declarations. White space isn't in what a declaration can't do without, so that is looked for before runs of it are squeezed."""
+    return by_lang(lambda lang: matches(F.col("s"), FUNCTION[lang], squeezed).cast("int"), [x for x in langs if x in FUNCTION], F.lit(0))
 
 
 def _code(value: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltline.functions.config import MONTHS
 from siltline.sources.snippets import SNIPPETS
@@ -97,7 +98,10 @@ SOURCE_FILES = _TREE.format(**_CASES)
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(path, fname, ext, content): each snippet once for each supplier, one to three times over, in directories and under names of all kinds."""
     snippets = spark.createDataFrame([(i, ext, text) for i, (ext, text) in enumerate(SNIPPETS)], "i bigint, ext string, content string")
-    return spark.sql(SOURCE_FILES, snippets=snippets, **tables(spark, sf_dir, "supplier"))
+    supplier = tables(spark, sf_dir, "supplier")["supplier"]
+    # a supplier's files are many times its row, so its rows are dealt out to all cores (into a set number of tasks, which isn't coalesced) before each meets the few snippets
+    tasks = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 36), 2 * spark.sparkContext.defaultParallelism)
+    return spark.sql(SOURCE_FILES, snippets=F.broadcast(snippets), supplier=supplier.repartition(tasks, "s_suppkey"))
 
 
 def _quoted(text: str) -> str:
