@@ -14,7 +14,7 @@ from siltline.functions.dates import month_of, year_of
 
 def module_of(path: Column) -> Column:
     """The directory of a path, "(root)" if it has none."""
-    return F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)).otherwise(F.lit("(root)"))
+    return F.when(path.contains("/"), F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)).otherwise(F.lit("(root)"))
 
 
 def category_of(message: Column) -> Column:
@@ -54,6 +54,11 @@ def shares(rows: DataFrame, count: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).withColumn("share", F.col(count) / F.col("__total")).drop("__total")
 
 
+def ranked_shares(rows: DataFrame, count: str, *order: Column) -> DataFrame:
+    """All rows with place and share. They are gathered for their places, so the total is taken there too; for one of its own, they would be made a second time."""
+    return ranked(rows, *order).withColumn("share", F.col(count) / F.sum(count).over(Window.partitionBy()))
+
+
 def totals(commits: DataFrame, numstat: DataFrame) -> DataFrame:
     return commits.agg(F.count_distinct("commit_id").alias("total_commits")).crossJoin(numstat.agg(F.count_distinct("path").alias("total_files")))  # one row each
 
@@ -132,12 +137,13 @@ def module_commits(numstat: DataFrame) -> DataFrame:
 def commits_per_module(numstat: DataFrame) -> DataFrame:
     """Shares are of the sum over modules, so a commit in two modules counts twice."""
     counted = module_commits(numstat).groupBy("module").agg(F.count("*").alias("commits"), F.min("seq").alias("first_seen"))
-    return ranked(shares(counted, "commits"), F.desc("commits"), F.asc("first_seen"), F.asc("module")).select("rank", "module", "commits", "share")
+    return ranked_shares(counted, "commits", F.desc("commits"), F.asc("first_seen"), F.asc("module")).select("rank", "module", "commits", "share")
 
 
 def category_per_module(commits: DataFrame, numstat: DataFrame, category: str) -> DataFrame:
-    some = categories(commits).where(F.col("category") == category).select("commit_id")
-    modules = module_commits(numstat)
-    first = modules.groupBy("module").agg(F.min("seq").alias("first_seen"))
-    counted = modules.join(some, "commit_id").groupBy("module").agg(F.count("*").alias("commits")).join(first, "module")
-    return ranked(shares(counted, "commits"), F.desc("commits"), F.asc("first_seen"), F.asc("module")).select("rank", "module", "commits", "share")
+    """Commits of a category in each module that has any; its place is that of its first commit of any category. Rows are shuffled once by commit, where they become different and meet their category, and then only sums by module."""
+    rows = numstat.select(module_of(F.col("path")).alias("module"), "commit_id", "seq").repartition("commit_id")
+    once = rows.groupBy("module", "commit_id").agg(F.min("seq").alias("seq"))
+    wanted = commits.select("commit_id", (category_of(F.col("message")) == category).alias("wanted"))
+    counted = once.join(wanted, "commit_id").groupBy("module").agg(F.count_if("wanted").alias("commits"), F.min("seq").alias("first_seen")).where("commits > 0")
+    return ranked_shares(counted, "commits", F.desc("commits"), F.asc("first_seen"), F.asc("module")).select("rank", "module", "commits", "share")
