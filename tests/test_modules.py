@@ -8,7 +8,7 @@ from siltline.operators import history as h
 
 
 def test_modules_of_a_category(spark):
-    commits = spark.createDataFrame([("c1", "Fix it"), ("c2", "Add a"), ("c3", "Add b"), ("c4", "Docs")], "commit_id string, message string")
+    commits = spark.createDataFrame([(1, "c1", "", "Fix it"), (2, "c2", "", "Add a"), (3, "c3", "", "Add b"), (4, "c4", "", "Docs")], "seq bigint, commit_id string, date_raw string, message string")
     numstat = spark.createDataFrame([(5, "gone", "b/x"), (10, "c2", "a/x"), (11, "c2", "a/y"), (12, "c3", "b/x"), (13, "c4", "a/z"), (14, "c1", "c/d/x"), (15, "c3", "x\n"), (16, "c2", "/y")], "seq bigint, commit_id string, path string")
     got = h.category_per_module(commits, numstat, "feature")
     # a change of a commit that isn't known makes no module earlier, as in the SQL
